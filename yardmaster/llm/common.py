@@ -49,6 +49,11 @@ def texts(batch, column: str = "text") -> list[str]:
     return [t or "" for t in batch.column(column).to_pylist()]
 
 
+def utf8(batch, column: str = "text") -> list[bytes]:
+    """The column's UTF-8 bytes, null as the empty text."""
+    return [t or b"" for t in batch.column(column).cast("binary").to_pylist()]
+
+
 def unused(df_columns: list[str], *names: str) -> list[str]:
     """Each name, with underscores in front until no column is called so."""
     taken, out = {c.lower() for c in df_columns}, []

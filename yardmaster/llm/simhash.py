@@ -20,34 +20,30 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, connected_components, stash, texts
+from .common import bounded_batches, connected_components, stash, utf8
 
-#: Words are separated by these six characters only.
-_SPACES = dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")
-_LOWER = {c: c + 32 for c in range(65, 91)}
-_FOLD = str.maketrans(_LOWER | _SPACES)
 _SEED = 42
 
 
-def words_of(text: str) -> list[str]:
-    """Runs of anything but the six ASCII spaces, A-Z lower-cased."""
-    return [w for w in text.translate(_FOLD).split(" ") if w]
+def words_of(text: bytes) -> list[bytes]:
+    """Runs of anything but the six ASCII spaces, A-Z lower-cased: what bytes.lower and split do."""
+    return text.lower().split()
 
 
-def shingles_of(words: list[str], k: int) -> list[str]:
+def shingles_of(words: list[bytes], k: int) -> list[bytes]:
     if not words:
         return []
-    return [" ".join(words)] if len(words) < k else list(map(" ".join, zip(*(words[i:] for i in range(k)))))
+    return [b" ".join(words)] if len(words) < k else list(map(b" ".join, zip(*(words[i:] for i in range(k)))))
 
 
-def fingerprint(shingles: list[str], chunk: int = 8192) -> int:
+def fingerprint(shingles: list[bytes], chunk: int = 8192) -> int:
     """Unsigned 64-bit SimHash; a bit is set if over half of the hashes have it."""
     if not shingles:
         return 0
     ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
     for i in range(0, len(shingles), chunk):
-        h = np.array([digest(s, _SEED) for s in shingles[i : i + chunk]], dtype="<u8")
+        h = np.array([digest(s, _SEED) for s in shingles[i : i + chunk]], "<u8")
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(shingles), bitorder="little").tobytes(), "little")
 
@@ -61,7 +57,7 @@ def with_fingerprint(docs: DataFrame, shingle: int = 3, text: str = "text", out:
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(shingles_of(words_of(t), shingle)) for t in texts(batch, text)]
+            fps = [fingerprint(shingles_of(words_of(t), shingle)) for t in utf8(batch, text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.array(fps, np.uint64).view(np.int64))], [*batch.schema.names, out])
 
     return docs.mapInArrow(run, docs.withColumn(out, F.lit(0).cast("long")).schema)
