@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality, simhash, substrings, tokens, topk, warc, winnowing
+from . import lines, packing, pseudonyms, quality, simhash, substrings, tokens, topk, warc, winnowing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,14 @@ def _vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: A deployment takes its secret key from its own vault.
+DEMO_KEY = "not a secret"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymized(_table(spark, sf_dir, "documents").select("doc_id", "text"), DEMO_KEY)
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +39,10 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_simhash, op3_token_counts, op4_winnowing, op6_repeated_windows, op7_top_k, op8_warc, op9_packing, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pseudonyms, op2_simhash, op3_token_counts, op4_winnowing, op5_line_runs, op6_repeated_windows, op7_top_k, op8_warc, op9_packing, op10_quality)}
 
 #: DuckDB SQL for those that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {"op4_winnowing": winnowing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_winnowing": winnowing.SQL, "op5_line_runs": lines.SQL}

@@ -70,16 +70,8 @@ def _windows(runs: DataFrame) -> DataFrame:
     return runs.withColumn("step", step).withColumn("at", F.col("at") + F.col("step")).withColumn("window", F.array_join(F.slice("span", F.col("step") + 1, F.col("len")), " ")).drop("span", "n", "step")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of `docs` (doc_id, text).
-
-    n_hit counts the words inside an occurrence of a window of `items` (item_id,
-    text); n_items the items with occurring windows; items_sha256 is the digest of
-    their ids, sorted as strings and comma-joined. Null, empty and wordless texts
-    have no words and no hits; items without words have no windows. A null item_id
-    hits but isn't counted or named. Equal rows give equal results. Empty tables
-    give no hits or no rows. Other columns are not read.
-    """
+def hits_of(docs: DataFrame, items: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
+    """(doc_id, th, n_hit, items) of the rows of `docs` (doc_id, th, text) that hold a window of `items`."""
     known = stash(items.select("item_id", words(F.col("text")).alias("ws")).filter("size(ws) > 0"), "items")
     short = sorted(r[0] for r in known.filter(F.size("ws") < length).select(F.size("ws")).distinct().collect())  # below `length`
     laid = known.select("item_id", F.explode_outer(_runs(F.col("ws"), length, gram, [])).alias("r")).select("item_id", "r.*").filter("fp is not null")
@@ -91,10 +83,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, gram: int
     held = _windows(laid).groupBy("window").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
     held = stash(held.withColumn("key", F.xxhash64("window")), "windows")
 
-    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
     # explode_outer: a filter inferred from explode would repeat the whole expression below it
     laid_out = let(words(F.col("text")), lambda ws: _runs(ws, length, gram, short))
-    runs = own.select("doc_id", "th", F.explode_outer(laid_out).alias("r")).select("doc_id", "th", "r.*")
+    runs = docs.select("doc_id", "th", F.explode_outer(laid_out).alias("r")).select("doc_id", "th", "r.*")
     met = None
     for block in range(blocks):  # each broadcast holds about BLOCK fingerprints, counted above
         part = prints.filter(F.pmod("fp", F.lit(blocks)) == block).select("fp", "len")
@@ -103,8 +94,21 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, gram: int
     hits = _windows(met.drop("fp")).withColumn("key", F.xxhash64("window"))
     hits = hits.join(held, ["key", "window"]).groupBy("doc_id", "th")
     covered = F.flatten(F.collect_set(F.sequence("at", F.col("at") + F.col("len") - 1)))
-    hits = hits.agg(F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    return hits.agg(F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+
 
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10, gram: int = 5) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row of `docs` (doc_id, text).
+
+    n_hit counts the words inside an occurrence of a window of `items` (item_id,
+    text); n_items the items with occurring windows; items_sha256 is the digest of
+    their ids, sorted as strings and comma-joined. Null, empty and wordless texts
+    have no words and no hits; items without words have no windows. A null item_id
+    hits but isn't counted or named. Equal rows give equal results. Empty tables
+    give no hits or no rows. Other columns are not read.
+    """
+    own = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    hits = hits_of(own, items, length, gram)
     counted = own.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words")).alias("d")
     out = counted.join(hits.alias("h"), F.expr("d.doc_id <=> h.doc_id and d.th = h.th"), "left")
     items_ = F.coalesce("h.items", F.array().cast("array<string>"))
