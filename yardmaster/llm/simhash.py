@@ -12,6 +12,7 @@ pairs of a group.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -198,3 +199,149 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, **sizes)
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+
+
+class LeaderTree:
+    """A BK-tree of leaders, for dense groups of near copies: who lies within the radius of a leader
+    follows it and is kept out of the tree.
+
+    A neighbour's leader lies within twice the radius, so `neighbours` looks no
+    further, and it compares followers only of leaders that `seen` doesn't vouch for.
+    """
+
+    def __init__(self, radius: int):
+        self.radius, self.tree, self.followers = radius, BKTree(2 * radius), {}
+
+    def neighbours(self, x: int, seen) -> list[int]:
+        found, leader = [], None
+        for y in self.tree.search(x):
+            d = (x ^ y).bit_count()
+            if d <= self.radius:
+                found.append(y)
+                leader = y if leader is None else leader
+            elif not seen(found, y):
+                near = next((z for z in self.followers[y] if (x ^ z).bit_count() <= self.radius), None)
+                if near is not None:
+                    found.append(near)
+        if leader is not None:
+            self.followers[leader].append(x)
+        else:
+            self.tree.insert(x)
+            self.followers[x] = []
+        return found
+
+
+def bands_for(texts_: int, expected: int = 128, recall: float = 0.95, similarity: float = 0.85) -> tuple[int, int]:
+    """(bands, bits a band): so many that a pair of `similarity` (Jaccard, of shingle sets) agrees in some
+    band with probability `recall`, and a band's value is shared by `expected` of unlike texts at most."""
+    width = max(16, math.ceil(math.log2(max(texts_, 2))) - int(math.log2(expected)))
+    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree)), width
+
+
+def signature(shingles: list[bytes], bits: int, chunk: int = 2048) -> bytes:
+    """SimHash of `bits` bits: each shingle's hash is spread to as many."""
+    lanes = np.arange(1, -(-bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(64 * len(lanes), np.int64)
+    for i in range(0, len(shingles), chunk):
+        h = np.array([xxhash.xxh64_intdigest(s, _SEED) for s in shingles[i : i + chunk]], np.uint64)[:, None] ^ lanes
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = ((h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype("<u8")
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((2 * ones > len(shingles))[:bits], bitorder="little").tobytes()
+
+
+def _signed_docs(docs: DataFrame, shingle: int, bands: int, width: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            signed = [signature(shingles_of(words_of(t), shingle), bands * width) for t in utf8(batch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.binary())], ["doc_id", "sig"])
+
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig binary")
+
+
+def _banded(sigs: DataFrame, bands: int, width: int) -> DataFrame:
+    """(shard, node, sig) for each band of each signature."""
+
+    def run(batches):
+        for batch in batches:
+            got, n = batch.column("sig").to_pylist(), batch.num_rows
+            bits = np.unpackbits(np.frombuffer(b"".join(got), np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : bands * width]
+            values = bits.reshape(n, bands, width).astype(np.int64) @ (1 << np.arange(width))
+            shards = (values + (np.arange(bands) << 48)).ravel()
+            rows = pa.array(np.repeat(np.arange(n), bands))
+            yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column("node").take(rows), batch.column("sig").take(rows)], ["shard", "node", "sig"])
+
+    return sigs.mapInArrow(run, "shard long, node long, sig binary")
+
+
+def _leader_links(rows: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within each (shard, tree): `own` rows make the tree, the others only search it."""
+
+    def run(batches):
+        key, tree, up, node_of, a, b = None, None, {}, {}, [], []
+
+        def top(x):
+            while up.setdefault(x, x) != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x
+
+        def close():
+            for x in up:
+                if (y := top(x)) != x:
+                    a.append(x)
+                    b.append(y)
+
+        def joined(found, y):
+            return any(top(node_of[z]) == top(node_of[y]) for z in found[:1])
+
+        for batch in batches:
+            for shard, part, own, node, sig in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "own", "node", "sig"))):
+                if (shard, part) != key:
+                    close()
+                    key, tree, up, node_of = (shard, part), LeaderTree(radius), {}, {}
+                x = int.from_bytes(sig, "little")
+                if own:
+                    node_of[x] = node
+                    found = tree.neighbours(x, joined)
+                else:
+                    found = [y for l in tree.tree.search(x) for y in (l, *tree.followers[l]) if (x ^ y).bit_count() <= radius]
+                for y in found:
+                    p, q = top(node), top(node_of[y])
+                    up[max(p, q)] = min(p, q)
+            if len(a) > 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("own"), "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_shard: int = 16384) -> DataFrame:
+    """doc_id, component_id (smallest doc_id reachable) by links of texts whose shingle sets have a
+    Jaccard similarity of `similarity` or more, as their signatures tell.
+
+    Signatures are long SimHashes; a link is a distance that such a similarity
+    makes on average or less. Signatures that agree in a band share a shard and a
+    BK-tree; `bands_for` says how many pairs agree in some band (95 of 100 at a
+    similarity of 0.85, nearly all above). A shard of over `max_shard` signatures is
+    dealt to several trees, which all of its signatures search. Nulls, repeated
+    rows and empty tables are as in `near_duplicates`.
+    """
+    bounded_batches(docs.sparkSession)
+    bands, width = bands_for(docs.count())
+    radius = int(bands * width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    signed = stash(_signed_docs(docs.select("doc_id", "text"), shingle, bands, width).withColumn("node", F.xxhash64("sig")), "signatures")
+    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "nodes")
+    rows = _banded(nodes.select("node", "sig"), bands, width)
+    sizes = stash(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+    near = rows.join(sizes, "shard")
+    parts = F.ceil(F.col("n") / max_shard).cast("int")
+    near = near.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int")).select("shard", "node", "sig", "mine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("tree"))
+    roots = connected_components(_leader_links(near.select("shard", "tree", (F.col("tree") == F.col("mine")).alias("own"), "node", "sig"), radius))
+    named = stash(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
+    groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return signed.select("doc_id", "node").join(named.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
