@@ -29,9 +29,9 @@ PHONE = r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}[ .\-]
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
 DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
-IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}"
+IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
 HEX = r"[0-9a-f]{32,64}"
-CARD = r"\d(?:[ \-]?\d){12,18}"
+CARD = r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"
 #: E-mail and phone may begin with what may not stand before the others.
 ANY = rf"(?<![\p{{L}}\p{{N}}._%+\-]){EMAIL}|(?<![\p{{L}}\p{{N}}_])(?:{PHONE}){_AFTER}|{_BEFORE}(?:{HEX}|{IBAN}|{IPV4}(?!\.?\d)|{DATE}|{SSN}(?!-)|{CARD}){_AFTER}"
 

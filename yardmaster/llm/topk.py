@@ -132,7 +132,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bins: int = 2048,
         sums = _histograms(_cells(state, candidates, n_q, spread), k, bins).groupBy("id", "bin").agg(F.sum("n").alias("n"))
         # the highest bin that, with those above, holds k scores; the range's lowest if there are fewer
         held = sums.withColumn("so_far", F.sum("n").over(best_first)).groupBy("id").agg(F.max(F.when(F.col("so_far") >= k, F.col("bin"))).alias("bin"))
-        bin_ = F.coalesce(F.least("bin", F.lit(bins)), F.lit(0))
+        bin_ = F.when(F.col("bin").isNotNull(), F.least("bin", F.lit(bins))).otherwise(0)  # least passes over nulls
         nearer = state.join(held, "id", "left").withColumn("lo", F.col("lo") + bin_ * F.col("width"))
         # a bin one score wide is the kth value; width 0 marks that
         state = stash(nearer.select("id", "v", "lo", F.when((F.col("width") <= 1) | F.col("bin").isNull(), 0).otherwise(F.ceil(F.col("width") / bins)).cast("long").alias("width")), "ranges")

@@ -58,9 +58,11 @@ def _runs(ws: Column, length: int, gram: int, short: list[int]) -> Column:
         return let(starts, lambda s: F.zip_with(s, F.concat(F.slice(s, F.lit(2), F.size(s)), F.array(F.size(fps))), lambda a, b: run(fps[a], a, b - a, length)))
 
     parts = [F.when(F.size(ws) >= length, let(_fingerprints(ws, length, gram), joined)).otherwise(empty)]
-    for k in short:
-        each = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i, k=k: run(F.xxhash64(F.slice(ws, i + 1, k)), i, F.lit(1), k))
-        parts.append(F.when(F.size(ws) >= k, each).otherwise(empty))
+    def whole(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(ws) - k), lambda i: run(F.xxhash64(F.slice(ws, i + 1, k)), i, F.lit(1), k))
+        return F.when(F.size(ws) >= k, each).otherwise(empty)
+
+    parts += map(whole, short)
     return F.concat(*parts)
 
 
