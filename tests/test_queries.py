@@ -2,6 +2,7 @@ import duckdb
 import pytest
 
 from tests.conftest import SF
+from yardmaster.plans import more_queries  # noqa: F401  it registers its queries
 from yardmaster.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +22,9 @@ def local_session(cpus: int | str = "*", memory: str = "8g", shuffle_partitions:
         "spark.sql.warehouse.dir": f"file://{checkpoints}/warehouse",
     }
     return SparkSession.builder.master(f"local[{cpus}]").appName("yardmaster").config(map=conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, spark.checkpoint.dir."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
