@@ -231,7 +231,7 @@ class LeaderTree:
         return found
 
 
-def bands_for(texts_: int, expected: int = 128, recall: float = 0.95, similarity: float = 0.85) -> tuple[int, int]:
+def bands_for(texts_: int, expected: int = 128, recall: float = 0.95, similarity: float = 0.8) -> tuple[int, int]:
     """(bands, bits a band): so many that a pair of `similarity` (Jaccard, of shingle sets) agrees in some
     band with probability `recall`, and a band's value is shared by `expected` of unlike texts at most."""
     width = max(16, math.ceil(math.log2(max(texts_, 2))) - int(math.log2(expected)))
@@ -327,7 +327,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, m
     Signatures are long SimHashes; a link is a distance that such a similarity
     makes on average or less. Signatures that agree in a band share a shard and a
     BK-tree; `bands_for` says how many pairs agree in some band (95 of 100 at a
-    similarity of 0.85, nearly all above). A shard of over `max_shard` signatures is
+    similarity of 0.8, nearly all above). A shard of over `max_shard` signatures is
     dealt to several trees, which all of its signatures search. Nulls, repeated
     rows and empty tables are as in `near_duplicates`.
     """
