@@ -39,6 +39,16 @@ def test_scans_stay_in_the_engine(spark):
     assert "GreaterThan(p_size,45)" in plan and "p_brand" not in plan and "Python" not in plan
 
 
+def test_equalities_become_join_keys(spark):
+    from yardmaster.operators import matching
+
+    jobs = spark.createDataFrame([(1, "X86", 4)], "request_id long, Want string, Cpus long")
+    slots = spark.createDataFrame([(1, "x86", 8)], "ScanIndex long, Arch string, Cpus long")
+    pairs = matching.bilateral(jobs, slots, "TARGET.Arch == MY.Want && TARGET.Cpus >= MY.Cpus")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 1 and "NestedLoop" not in plan and "Cartesian" not in plan
+
+
 def test_entry_module_names_agree():
     import __spark_entry__
 

@@ -164,11 +164,14 @@ class Compiler:
     def __call__(self, text: str) -> Typed:
         return self.column(parse(text))
 
+    def condition(self, text: str | None) -> Column:
+        """For filters and joins, which drop NULL by themselves: bare, so that its parts reach the scan
+        and become join keys. "" and "true" match all."""
+        return F.lit(True) if text is None or text.strip().lower() in ("", "true") else self._bool(self(text))
+
     def predicate(self, text: str | None) -> Column:
-        """True only where the expression is true; "" and "true" match all."""
-        if text is None or text.strip().lower() in ("", "true"):
-            return F.lit(True)
-        return F.coalesce(self._bool(self(text)), F.lit(False))
+        """True where the expression is true, else false: never NULL, so it may be negated."""
+        return F.coalesce(self.condition(text), F.lit(False))
 
     def column(self, n: Node) -> Typed:
         if n.op == "lit":

@@ -85,7 +85,7 @@ def bilateral(requests: DataFrame, slots: DataFrame, job_requirements: str, slot
     job, slot = sides(requests, slots)
     left = requests.select(*(F.col(c).alias(f"j_{c}") for c in requests.columns))
     right = slots.select(*(F.col(c).alias(f"m_{c}") for c in slots.columns))
-    return left.join(right, job.predicate(job_requirements) & slot.predicate(slot_requirements))
+    return left.join(right, job.condition(job_requirements) & slot.condition(slot_requirements))
 
 
 def by_expression(ads: DataFrame, column: str, most: int = 1000):

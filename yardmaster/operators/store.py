@@ -98,7 +98,7 @@ class Query:
 
 def matching(ads: DataFrame, constraint: str | None, now: int | None = None) -> DataFrame:
     """Ads for which the constraint is true. The predicate is a column, so it reaches the scan."""
-    return ads.filter(Compiler(attributes(ads), now=now).predicate(constraint))
+    return ads.filter(Compiler(attributes(ads), now=now).condition(constraint))
 
 
 def run_query(ads: DataFrame, query: Query, private: bool = False, order: list[str] | None = None) -> DataFrame:

@@ -34,7 +34,7 @@ def replay(log: DataFrame, constraint: str = "", cursor: int | None = None) -> D
         events = changes(log, constraint, cursor).select("kind", F.col("key").cast("string").alias("key"), F.col("seq").alias("cursor"))
         return events.unionByName(end)
     now = latest(log, order=["seq"])
-    held = now.filter(Compiler(attributes(now)).predicate(constraint)).select(F.lit(UPSERT).alias("kind"), F.col("key").cast("string").alias("key"), F.col("seq").alias("cursor"))
+    held = now.filter(Compiler(attributes(now)).condition(constraint)).select(F.lit(UPSERT).alias("kind"), F.col("key").cast("string").alias("key"), F.col("seq").alias("cursor"))
     begin = log.limit(1).select(F.lit(RESET).alias("kind"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("cursor"))
     return begin.unionByName(held).unionByName(end)
 
