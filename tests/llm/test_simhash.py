@@ -93,3 +93,22 @@ def test_near_copies_by_five_words(spark):
     split = simhash.similar_groups(frame(spark, rows), max_shard=2)
     assert {r.doc_id: r.component_id for r in split.collect()} == got
     assert simhash.similar_groups(frame(spark, [])).count() == 0
+
+
+def test_links_near_the_threshold_match_brute_force(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(60):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 200))] + ["a", "common", "line", "of", "text", "here"] * 3
+        for c in range(4):
+            copy = list(words)
+            for at in rng.sample(range(len(copy)), rng.randrange(len(copy) // 30)):  # about 0.75 to 1
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy), "", 1, 1, ""))
+    sets = {r[0]: set(zip(*(r[1].split()[i:] for i in range(5)))) for r in rows}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets}
+    assert sum(0.75 < s < 0.8 for s in alike.values()) > 20 and sum(0.8 <= s < 0.85 for s in alike.values()) > 20
+    want = components(sets, lambda a, b: alike[a, b] >= 0.8)
+    for sizes in ({}, {"max_shard": 2}):
+        got = simhash.similar_groups(frame(spark, rows), **sizes)
+        assert {r.doc_id: r.component_id for r in got.collect()} == want

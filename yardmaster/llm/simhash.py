@@ -231,117 +231,125 @@ class LeaderTree:
         return found
 
 
-def bands_for(texts_: int, expected: int = 128, recall: float = 0.95, similarity: float = 0.8) -> tuple[int, int]:
-    """(bands, bits a band): so many that a pair of `similarity` (Jaccard, of shingle sets) agrees in some
-    band with probability `recall`, and a band's value is shared by `expected` of unlike texts at most."""
-    width = max(16, math.ceil(math.log2(max(texts_, 2))) - int(math.log2(expected)))
-    agree = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** width
-    return math.ceil(math.log(1 - recall) / math.log(1 - agree)), width
-
-
-def signature(shingles: list[bytes], bits: int, chunk: int = 2048) -> bytes:
-    """SimHash of `bits` bits: each shingle's hash is spread to as many."""
-    lanes = np.arange(1, -(-bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = np.zeros(64 * len(lanes), np.int64)
-    for i in range(0, len(shingles), chunk):
-        h = np.array([xxhash.xxh64_intdigest(s, _SEED) for s in shingles[i : i + chunk]], np.uint64)[:, None] ^ lanes
-        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = ((h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)).astype("<u8")
-        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits((2 * ones > len(shingles))[:bits], bitorder="little").tobytes()
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles' hashes in ascending order."""
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(s, _SEED) for s in shingles_of(words_of(text), shingle)], np.uint64)).view(np.int64)
 
 
-def _signed_docs(docs: DataFrame, shingle: int, bands: int, width: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            signed = [signature(shingles_of(words_of(t), shingle), bands * width) for t in utf8(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(signed, pa.binary())], ["doc_id", "sig"])
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, sig binary")
 
+def _parity(hs: np.ndarray, words: int = 16) -> np.ndarray:
+    """A bitmap of 64 x `words` bits: whether an odd number of the hashes falls on each. Two sets' bitmaps
+    differ in no more bits than the sets have elements that are in one of them only."""
+    at = (hs.view(np.uint64) >> np.uint64(20)) % np.uint64(64 * words)
+    return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words) % 2 == 1, bitorder="little").view(np.int64)
 
-def _banded(sigs: DataFrame, bands: int, width: int) -> DataFrame:
-    """(shard, node, sig) for each band of each signature."""
+
+def _hashed(rows: DataFrame, shingle: int) -> DataFrame:
+    """(node, hs) of `rows` (node, text): the distinct shingle hashes."""
 
     def run(batches):
         for batch in batches:
-            got, n = batch.column("sig").to_pylist(), batch.num_rows
-            bits = np.unpackbits(np.frombuffer(b"".join(got), np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : bands * width]
-            values = bits.reshape(n, bands, width).astype(np.int64) @ (1 << np.arange(width))
-            shards = (values + (np.arange(bands) << 48)).ravel()
-            rows = pa.array(np.repeat(np.arange(n), bands))
-            yield pa.RecordBatch.from_arrays([pa.array(shards), batch.column("node").take(rows), batch.column("sig").take(rows)], ["shard", "node", "sig"])
-
-    return sigs.mapInArrow(run, "shard long, node long, sig binary")
+            yield pa.RecordBatch.from_arrays([batch.column("node"), _lists([_shingle_hashes(t, shingle) for t in utf8(batch)])], ["node", "hs"])
 
+    return rows.select("node", "text").mapInArrow(run, "node long, hs array<long>")
 
-def _leader_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) within each (shard, tree): `own` rows make the tree, the others only search it."""
-
-    def run(batches):
-        key, tree, up, node_of, a, b = None, None, {}, {}, [], []
 
-        def top(x):
-            while up.setdefault(x, x) != x:
-                up[x] = up[up[x]]
-                x = up[x]
-            return x
+def _common(docs: DataFrame, shingle: int, share: int = 16, least: int = 3, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingle hashes, ascending, and their counts in one document of `share`.
 
-        def close():
-            for x in up:
-                if (y := top(x)) != x:
-                    a.append(x)
-                    b.append(y)
-
-        def joined(found, y):
-            return any(top(node_of[z]) == top(node_of[y]) for z in found[:1])
+    They only order a document's shingles: any order finds all links, and one that
+    has frequent shingles last compares fewer pairs.
+    """
+    some = docs.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0).select("text").distinct()
+    counts = _hashed(some.withColumn("node", F.lit(0).cast("long")), shingle).select(F.explode("hs").alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    got = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(most).toArrow()
+    h, n = got["h"].to_numpy(), got["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _prefixed(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """doc_id, th (hash of the text), node (hash of the shingle set), n (its size), bits (`_parity`)
+    and pre: so many of its hashes, rarest first, that two sets of `similarity` or more have one of these in common."""
+    known, counts = common
+
+    def prefix(hs: np.ndarray) -> np.ndarray:
+        if not len(hs):
+            return hs
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hs), len(known) - 1)
+            order = np.argsort(np.where(known[at] == hs, counts[at], 0), kind="stable")
+            hs = hs[order]
+        return hs[: len(hs) - math.ceil(similarity * len(hs) - 1e-9) + 1]
 
+    def run(batches):
         for batch in batches:
-            for shard, part, own, node, sig in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "own", "node", "sig"))):
-                if (shard, part) != key:
-                    close()
-                    key, tree, up, node_of = (shard, part), LeaderTree(radius), {}, {}
-                x = int.from_bytes(sig, "little")
-                if own:
-                    node_of[x] = node
-                    found = tree.neighbours(x, joined)
-                else:
-                    found = [y for l in tree.tree.search(x) for y in (l, *tree.followers[l]) if (x ^ y).bit_count() <= radius]
-                for y in found:
-                    p, q = top(node), top(node_of[y])
-                    up[max(p, q)] = min(p, q)
-            if len(a) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-                a, b = [], []
-        close()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("own"), "node")
-    return dealt.mapInArrow(run, "a long, b long")
+            sets = [np.sort(_shingle_hashes(t, shingle)) for t in utf8(batch)]
+            nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64).view(np.int64))
+            sizes = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), nodes, sizes, _lists([_parity(s) for s in sets]), _lists([prefix(s) for s in sets])], ["doc_id", "th", "node", "n", "bits", "pre"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n int, bits array<long>, pre array<long>")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of `pairs` (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
+    # of unlike pairs nearly all differ in more bits than such a similarity allows
+    signs = nodes.select("node", "n", "bits")
+    near = pairs.distinct().join(signs.toDF("a", "p", "x"), "a").join(signs.toDF("b", "q", "y"), "b")
+    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    near = near.filter(apart <= (F.col("p") + F.col("q")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+    pairs = stash(near.select("a", "b"), "pairs")
+    met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    texts_ = docs.select("text", F.xxhash64("text").alias("th")).join(nodes.select("node", "th").join(met, "node"), "th")
+    sets = stash(_hashed(texts_.dropDuplicates(["node"]), shingle), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hs").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hs").alias("y")), "b")
+    both = both.select("a", "b", F.size("x").alias("p"), F.size("y").alias("q"), F.size(F.array_intersect("x", "y")).alias("o"))
+    return stash(both.filter(F.col("o") / (F.col("p") + F.col("q") - F.col("o")) >= similarity).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_shard: int = 16384) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable) by links of texts whose shingle sets have a
-    Jaccard similarity of `similarity` or more, as their signatures tell.
-
-    Signatures are long SimHashes; a link is a distance that such a similarity
-    makes on average or less. Signatures that agree in a band share a shard and a
-    BK-tree; `bands_for` says how many pairs agree in some band (95 of 100 at a
-    similarity of 0.8, nearly all above). A shard of over `max_shard` signatures is
-    dealt to several trees, which all of its signatures search. Nulls, repeated
-    rows and empty tables are as in `near_duplicates`.
+    Jaccard similarity of `similarity` or more.
+
+    No link is lost and none is false, up to equal 64-bit hashes. Two such sets share
+    a hash among the rarest of each (prefix filter), which names a shard. First each
+    member of a shard is compared with the shard's smallest; then all members that
+    are still in different groups are compared, so a large group of near copies is
+    not compared pair by pair. Comparisons are of whole sets. A shard of over
+    `max_shard` is dealt to several parts, which all of its members meet. Nulls,
+    repeated rows and empty tables are as in `near_duplicates`.
     """
     bounded_batches(docs.sparkSession)
-    bands, width = bands_for(docs.count())
-    radius = int(bands * width * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-    signed = stash(_signed_docs(docs.select("doc_id", "text"), shingle, bands, width).withColumn("node", F.xxhash64("sig")), "signatures")
-    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("sig").alias("sig")), "nodes")
-    rows = _banded(nodes.select("node", "sig"), bands, width)
-    sizes = stash(rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
-    near = rows.join(sizes, "shard")
-    parts = F.ceil(F.col("n") / max_shard).cast("int")
-    near = near.withColumn("mine", F.pmod(F.xxhash64("node"), parts).cast("int")).select("shard", "node", "sig", "mine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("tree"))
-    roots = connected_components(_leader_links(near.select("shard", "tree", (F.col("tree") == F.col("mine")).alias("own"), "node", "sig"), radius))
+    docs = docs.select("doc_id", "text")
+    signed = stash(_prefixed(docs, shingle, similarity, _common(docs, shingle)), "prefixes")
+    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "bits", "pre"))), "nodes")
+    rows = nodes.select("node", "n", F.posexplode("pre").alias("at", "h"))
+
+    def fits(n, at, n_, at_):
+        """Sizes and the places of a common hash allow for the similarity: before its first common hash a set has none."""
+        return F.least(n - at, n_ - at_) >= (n + n_) * (similarity / (1 + similarity)) - 1e-6
+
+    sizes = stash(rows.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "shards")
+    shared = stash(rows.join(sizes, "h"), "shared")
+    lead = shared.filter("node = least").select("h", F.col("n").alias("n_"), F.col("at").alias("at_"))
+    led = shared.filter("node > least").join(lead, "h").filter(fits(*map(F.col, ("n", "at", "n_", "at_"))))
+    found = _verified(led.select(F.col("node").alias("a"), F.col("least").alias("b")), docs, nodes, shingle, similarity)
+    grouped = shared.select("h", "node", "n", "at", "size").join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = stash(grouped, "grouped")
+    mixed = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    parts = F.ceil(F.col("size") / max_shard).cast("int")
+    apart = grouped.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    one = apart.select("h", "part", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "at", "root")))
+    two = apart.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "n", "at", "root")
+    others = one.join(two, ["h", "part"]).filter((F.col("root") < F.col("root_")) & fits(*map(F.col, ("n", "at", "n_", "at_")))).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    roots = connected_components(found.union(_verified(others, docs, nodes, shingle, similarity)))
     named = stash(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return signed.select("doc_id", "node").join(named.join(groups, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
