@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import duckdb
 
 from yardmaster.llm import lines, substrings, winnowing
@@ -109,6 +110,27 @@ def test_line_runs_of_any_length(spark):
         assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_single_long_lines_go_alone(spark):
+    rng = random.Random(10)
+    long, short = [f"line {c} of five words" for c in "abcd"], ["x", "four words are short", "", " "]
+    docs = [(i, "\n".join(rng.choice(long + short + [f"own {i} {k}"] * 6) for k in range(8))) for i in range(40)]
+    first, want = {}, {}
+    for i, t in docs:
+        rows = t.split("\n")
+        for k in range(len(rows)):
+            first.setdefault(rows[k], (i, k))
+            first.setdefault(tuple(rows[k : k + 2]), (i, k))
+    for i, t in docs:
+        rows = t.split("\n")
+        gone = {k for k, r in enumerate(rows) if len(r.split()) >= 5 and first[r] != (i, k)}
+        gone |= {k + j for k in range(len(rows) - 1) if first[tuple(rows[k : k + 2])] != (i, k) for j in (0, 1)}
+        want[i] = "\n".join(r for k, r in enumerate(rows) if k not in gone)
+    got = lines.without_repeated_lines(frame(spark, [(i, t, "", 1, 1, "") for i, t in docs]).drop("n_lines"), alone=5)
+    assert {r.doc_id: r.text for r in got.collect()} == want
+    staged = corpus_pipeline.cut_lines(spark, frame(spark, [(1, "top\n" + long[0], "", 1, 1, ""), (2, long[0] + "\nend", "", 1, 1, ""), (3, long[0], "", 1, 1, "")]), "")
+    assert {r.doc_id: r.text for r in staged.collect()} == {1: "top\n" + long[0], 2: "end"}
+
+
 def test_lines_of_odd_tables(spark):
     table = frame(spark)
     got = lines.without_repeated_lines(table, n_lines="lines_", n_removed="removed_")
