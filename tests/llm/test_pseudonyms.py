@@ -53,6 +53,19 @@ def test_what_does_not_validate_stays(spark):
     assert [got[i].text for i in range(len(texts))] == texts and all(r.n_replaced == 0 for r in got.values())
 
 
+def test_cases_and_other_forms_are_found_and_linked(spark):
+    token = "9233a8ec" * 5
+    texts = [f"token = '{token}'", f"TOKEN = '{token.upper()}'", token[:20] + token[20:].upper(), "2024-05-01", "AT 2024-05-01T10:00:00Z", "3/4/2024", "2024/03/04", "2024-3-4", "4.3.2024", "+14155552671", "415 555 2671", "+44 20 7946 0958", "2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "::ffff:10.1.2.3", "see a::b, 10:30:00 and std::add"]
+    got = {i: r.text for i, r in rewritten(spark, texts).items()}
+    assert all(got[i] != t for i, t in enumerate(texts[:-1])) and got[15] == texts[15]
+    assert got[1] == got[0].upper() and got[2].lower() == got[0][9:-1]
+    assert got[4] == f"AT {got[3]}T10:00:00Z"
+    day = datetime.date(*map(int, got[7].split("-")))
+    assert tuple(map(int, got[5].split("/"))) == (day.month, day.day, day.year) and got[6] == f"{day:%Y/%m/%d}" and got[8] == f"{day.day}.{day.month}.{day.year}"
+    assert re.fullmatch(r"\+1\d{10}", got[9]) and re.fullmatch(r"\d{3} \d{3} \d{4}", got[10]) and re.fullmatch(r"\+44 \d\d \d{4} \d{4}", got[11])
+    assert got[12].upper() == got[13] and got[12].count(":") == 7 and got[14].startswith("::ffff:")
+
+
 def test_odd_tables(spark):
     table = frame(spark)
     got = pseudonyms.pseudonymized(table, "k", count="replaced")

@@ -11,10 +11,11 @@ equal values have equal pseudonyms in every document. Check digits are made anew
 | IBAN | remainder 1 by 97 | account part; check digits are made anew |
 | date | calendar, 1800 to 2199 | the 146,097 days of that 400-year cycle |
 | IPv4 address | octets to 255 | two halves of 16 bits |
+| IPv6 address | eight groups, or fewer with a double colon | all 128 bits |
 | social security number | ranges in use | area, and group with serial |
 | phone number | form | digits after the country code |
 | e-mail address | form | letters and digits before the last two labels |
-| hexadecimal secret | 32 to 64 digits | all digits |
+| hexadecimal secret | 32 to 64 digits | all digits, the case put back |
 """
 
 from __future__ import annotations
@@ -25,15 +26,20 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.+\-])", r"(?![\p{L}\p{N}_])"
 EMAIL = r"[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
-PHONE = r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}"
+PHONE = r"(?:\+\d{1,3}[ .\-]?)?\(\d{3}\)[ .\-]?\d{3}[ .\-]?\d{4}|\+\d{1,3}[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4}|\d{3} \d{3} \d{4}|\+\d{8,15}|\+(?=(?:\d[ .\-]?){8})\d{1,3}(?:[ .\-]\d{1,4}){2,5}"
+#: The country codes of one and two digits; the others have three.
+COUNTRY = r"\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+_GROUPS = r"[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+IPV6 = rf"{_GROUPS}{{7}}|(?=[0-9A-Fa-f:]{{0,40}}::)(?=[A-Fa-f:]{{0,40}}[0-9])(?:{_GROUPS}{{0,6}})?::(?:{_GROUPS}{{0,6}})?"
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}"
-DATE = r"\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}"
+DATE = r"\d{4}-\d{1,2}-\d{1,2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4}"
+_TIME = r"(?=[Tt]\d{2}:?\d{2})"
 SSN = r"\d{3}-\d{2}-\d{4}"
 IBAN = r"[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
-HEX = r"[0-9a-f]{32,64}"
+HEX = r"[0-9A-Fa-f]{32,64}"
 CARD = r"\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5}"
 #: E-mail and phone may begin with what may not stand before the others.
-ANY = rf"(?<![\p{{L}}\p{{N}}._%+\-]){EMAIL}|(?<![\p{{L}}\p{{N}}_])(?:{PHONE}){_AFTER}|{_BEFORE}(?:{HEX}|{IBAN}|{IPV4}(?!\.?\d)|{DATE}|{SSN}(?!-)|{CARD}){_AFTER}"
+ANY = rf"(?<![\p{{L}}\p{{N}}._%+\-]){EMAIL}|(?<![\p{{L}}\p{{N}}_])(?:{PHONE}){_AFTER}|(?<!:){_BEFORE}(?:{IPV6}){_AFTER}(?!:|\.\d)|{_BEFORE}(?:{DATE}){_TIME}|{_BEFORE}(?:{HEX}|{IBAN}|{IPV4}(?!\.?\d)|{DATE}|{SSN}(?!-)|{CARD}){_AFTER}"
 
 _DIGITS, _LOWER, _UPPER, _HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdef"
 _DAY0, _DAYS = "1800-01-01", (189, 773)
@@ -140,18 +146,50 @@ def _iban(key: str, m: Column) -> Column:
 
 
 def _date(key: str, m: Column) -> Column:
+    # written without padding if a field is
+    short = m.rlike(r"(?:^|[/.\-])\d(?:[/.\-]|$)")
+
     def made(form: str) -> Column:
         def permuted(day: Column) -> Column:
             n = F.datediff(day, F.lit(_DAY0).cast("date"))
             new = let(permuted_numbers(key, "date", F.floor(n / _DAYS[1]), n % _DAYS[1], *_DAYS), lambda s: (s["a"] * _DAYS[1] + s["b"]).cast("int"))
             inside = (n >= 0) & (n < _DAYS[0] * _DAYS[1])
-            return F.when(inside, F.date_format(F.date_add(F.lit(_DAY0).cast("date"), new), form)).otherwise(m)
+            written = let(F.date_add(F.lit(_DAY0).cast("date"), new), lambda d: F.when(short, F.date_format(d, form)).otherwise(F.date_format(d, form.replace("M", "MM").replace("d", "dd"))))
+            return F.when(inside, written).otherwise(m)
 
         return let(F.try_to_timestamp(m, F.lit(form)).cast("date"), permuted)
 
-    month_first = F.substr(m, F.lit(1), F.lit(2)).try_cast("int") <= 12
-    slashed = F.when(month_first, F.coalesce(made("MM/dd/yyyy"), made("dd/MM/yyyy"))).otherwise(made("dd/MM/yyyy"))
-    return F.coalesce(F.when(F.instr(m, "-") > 0, made("yyyy-MM-dd")).when(F.instr(m, "/") > 0, slashed).otherwise(made("dd.MM.yyyy")), m)
+    month_first = F.regexp_extract(m, r"^\d+", 0).try_cast("int") <= 12
+    slashed = F.when(m.rlike("^[0-9]{4}"), made("yyyy/M/d")).when(month_first, F.coalesce(made("M/d/yyyy"), made("d/M/yyyy"))).otherwise(made("d/M/yyyy"))
+    return F.coalesce(F.when(F.instr(m, "-") > 0, made("yyyy-M-d")).when(F.instr(m, "/") > 0, slashed).otherwise(made("d.M.yyyy")), m)
+
+
+def _in_case_of(m: Column, new: Column) -> Column:
+    """`new` (of lower case) in the case of `m`, place by place where that is mixed."""
+    at = lambda text, i: F.substr(text, i, F.lit(1))
+    mixed = F.array_join(F.transform(F.sequence(F.lit(1), F.length(new)), lambda i: F.when(at(m, i).rlike("[A-F]"), F.upper(at(new, i))).otherwise(at(new, i))), "")
+    return F.when(~m.rlike("[A-F]"), new).when(~m.rlike("[a-f]"), F.upper(new)).otherwise(mixed)
+
+
+def _hex(key: str, m: Column) -> Column:
+    """One value has one pseudonym in either case."""
+    return let(permuted_text(key, "hex", F.lower(m), [_HEX]), lambda new: _in_case_of(m, new))
+
+
+def _ipv6(key: str, m: Column) -> Column:
+    """The 128 bits permuted, so all spellings of an address stay linked; written as eight groups."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+
+    def made(sides: Column) -> Column:
+        left, right = groups(sides[0]), F.when(F.size(sides) > 1, groups(sides[1])).otherwise(F.array().cast("array<string>"))
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        valid = F.when(F.size(sides) > 1, missing >= 1).otherwise(missing == 0)
+        whole = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), right)
+        digits = F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), "")
+        new = let(permuted_text(key, "ipv6", digits, [_HEX]), lambda x: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.regexp_replace(F.substr(x, i * 4 + 1, F.lit(4)), "^0{1,3}", "")), ":"))
+        return F.when(valid, F.when(m.rlike("[A-F]") & ~m.rlike("[a-f]"), F.upper(new)).otherwise(new)).otherwise(m)
+
+    return let(F.split(F.lower(m), "::"), made)
 
 
 def _ipv4(key: str, m: Column) -> Column:
@@ -194,8 +232,10 @@ def pseudonym(key: str, m: Column) -> Column:
         .when(is_a(DATE), _date(key, m))
         .when(is_a(SSN), _ssn(key, m))
         .when(is_a(IPV4), _ipv4(key, m))
+        .when(is_a(IPV6), _ipv6(key, m))
+        .when(m.rlike(r"^\+\d+$"), _after(key, "phone", m, COUNTRY, ""))
         .when(is_a(PHONE), _after(key, "phone", m, r"(?:\+\d{1,3}[ .\-]?)?", ""))
-        .when(is_a(HEX), permuted_text(key, "hex", m, [_HEX]))
+        .when(is_a(HEX), _hex(key, m))
         .when(is_a(IBAN), _iban(key, m))
         .otherwise(_card(key, m))
     )
