@@ -107,3 +107,16 @@ def test_streams_agree_with_batches(spark, tmp_path):
     assert sorted((r.key, r.seq) for r in changes.upserted(spark, str(tmp_path / "t")).collect()) == [("k0", 30), ("k1", 28), ("k2", 29)]
     changes.fan_out(stream(), [str(tmp_path / "v1"), str(tmp_path / "v2")], str(tmp_path / "c3"), most=5).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "v1")).count() == spark.read.parquet(str(tmp_path / "v2")).count() == 10
+
+
+def test_views_get_whole_batches_and_failures_are_retried(spark, tmp_path):
+    schema, log, good, bad = "seq long, key string", str(tmp_path / "log"), tmp_path / "good", tmp_path / "bad"
+    spark.range(5000).selectExpr("id as seq", "cast(id as string) as key").write.parquet(log)
+    bad.write_text("a file where the view's folder should be")
+    start = lambda: changes.fan_out(spark.readStream.schema(schema).parquet(log), [str(bad), str(good)], str(tmp_path / "c"))
+    with pytest.raises(Exception, match="missed views"):
+        start().awaitTermination(120)
+    assert spark.read.parquet(str(good)).count() == 5000
+    bad.unlink()
+    start().awaitTermination(120)
+    assert spark.read.parquet(str(bad)).count() == spark.read.parquet(str(good)).count() == 5000

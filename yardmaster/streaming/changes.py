@@ -87,16 +87,19 @@ def upserted(spark: SparkSession, path: str) -> DataFrame:
     return latest(spark.read.parquet(path), order=["batch", "seq"]).drop("batch")
 
 
-def fan_out(updates: DataFrame, paths: list[str], checkpoint: str, most: int = 4096):
-    """Forward each batch's public ads to several views; a view takes `most` ads of a batch, the rest is
-    dropped, and one that fails doesn't stop the others."""
+def fan_out(updates: DataFrame, paths: list[str], checkpoint: str, most: int | None = None):
+    """Forward each batch's public ads to several views, whole unless `most` ads of a batch are asked for.
+    A view that fails doesn't stop the others; the batch then fails, and a new start does it again."""
 
     def write(batch: DataFrame, number: int) -> None:
+        sent, failed = batch if most is None else batch.orderBy("seq").limit(most), {}
         for path in paths:
             try:
-                batch.orderBy("seq").limit(most).write.mode("overwrite").parquet(f"{path}/batch={number}")
-            except Exception as e:  # best effort, as forwarding is
-                print(f"view {path} missed batch {number}: {e}")
+                sent.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            except Exception as e:
+                failed[path] = e
+        if failed:
+            raise RuntimeError(f"batch {number} missed views: {failed}")
 
     return updates.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
