@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 import duckdb
+from pyspark.sql import functions as F
 
 from yardmaster.llm import lines, substrings, winnowing
 
@@ -53,6 +54,36 @@ def test_very_long_texts_are_read_whole(spark):
     assert got == {1: 0, 2: 60}
 
 
+def test_patterns_that_cancel_in_sums_are_told_apart(spark):
+    """Two documents whose blocks differ by one word each, after the Thue-Morse sequence and its complement."""
+    block = lambda k, bit: [f"head{j}" for j in range(8)] + ["one" if bit else "zero"] + [f"w{k}.{j}" for j in range(31)]
+    text = lambda flip: " ".join(w for k in range(1024) for w in block(k, k.bit_count() % 2 ^ flip))
+    got = substrings.without_repeats(frame(spark, [(i, text(i), "", 1, 1, "") for i in (0, 1)])).collect()
+    assert [(r.n_words, r.n_removed) for r in got] == [(40_960, 0)] * 2
+
+
+def test_spans_are_compared_at_their_source(spark):
+    rows = [(1, " ".join(f"a{k}" for k in range(30))), (2, " ".join(f"a{k}" for k in range(20)) + " x " + " ".join(f"a{k}" for k in range(20, 30)))]
+    docs = frame(spark, [(i, t, "", 1, 1, "") for i, t in rows]).select("doc_id", F.xxhash64("text").alias("th"), "text")
+    th = {r.doc_id: r.th for r in docs.collect()}
+    spans = lambda n: spark.createDataFrame([(2, th[2], 0, n, 1, th[1], 0)], "doc_id long, th long, at int, n int, from_id long, from_th long, from_at int")
+    for n, wrong in ((11, 0), (12, 1)):
+        done, found = substrings.cut_spans(docs, spans(n), 10)
+        assert found == wrong and {r.doc_id: r.n_removed for r in done.collect()} == {1: 0, 2: n + 9}
+
+
+def test_pieces_are_named_by_their_end_nodes():
+    rng = random.Random(11)
+    texts = [[b"%d" % rng.randrange(3) for _ in range(rng.randrange(80))] for _ in range(50)] + [[b"z"] * 200, []]
+    named, seen = {}, [0] * len(texts)
+    for text, start, size, least, left, right in zip(*(x.tolist() for x in substrings.pieces_of(texts, 10, 4))):
+        assert start == seen[text] and 0 < size < 10
+        seen[text] += size
+        words = tuple(texts[text][start : start + size + 9])
+        assert named.setdefault((left, right, size), words) == words
+    assert seen == [max(0, len(t) - 9) for t in texts] and len(set(named.values())) == len(named)
+
+
 def run_sql(sql, **tables):
     con = duckdb.connect()
     for name, (columns, rows) in tables.items():
