@@ -181,7 +181,8 @@ def repeated_spans(docs: DataFrame, window: int = 50, anchor: int = 8, seed: int
     same = [F.lag(c).over(walk) == F.col(c) for c in ("from_id", "from_th", "path")] + [F.lag(F.col(c) + F.col("n")).over(walk) == F.col(c) for c in ("at", "from_at")]
     goes_on = F.coalesce(same[0] & same[1] & same[2] & same[3] & same[4], F.lit(False))
     runs = whole.unionByName(some).withColumn("head", F.when(~goes_on, F.col("at"))).withColumn("head", F.last("head", ignorenulls=True).over(walk))
-    spans = runs.groupBy("doc_id", "th", "head").agg(F.sum("n").cast("int").alias("n"), F.min("from_id").alias("from_id"), F.min("from_th").alias("from_th"), F.min("from_at").alias("from_at"))
+    # rows that repeat a document begin a run each, so its length is where it ends
+    spans = runs.groupBy("doc_id", "th", "head").agg((F.max(F.col("at") + F.col("n")) - F.col("head")).alias("n"), F.min("from_id").alias("from_id"), F.min("from_th").alias("from_th"), F.min("from_at").alias("from_at"))
     return spans.withColumnRenamed("head", "at")
 
 
