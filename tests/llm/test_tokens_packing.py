@@ -22,6 +22,14 @@ def test_counts_equal_the_library_on_odd_texts():
     assert [counter.count(t) for t in texts] == [len(x.ids) for x in real.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_counts_equal_the_library_on_every_code_point():
+    counter, real = tokens.BytePairCounter(VOCABULARY, memo=1000), library()
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 40_000):
+        texts = [" ".join(f"a{c}B {c}c{c}'s {c}{c}1" for c in points[j : j + 4]) for j in range(i, min(i + 40_000, len(points)), 4)]
+        assert [counter.count(t) for t in texts] == [len(x.ids) for x in real.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_do_not_depend_on_the_memo():
     small = tokens.BytePairCounter(VOCABULARY, memo=3)
     big = tokens.BytePairCounter(VOCABULARY)

@@ -11,15 +11,16 @@ for pieces, in tables bounded by `memo` entries a worker.
 from __future__ import annotations
 
 import json
-import unicodedata
+import re
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
 from .common import bounded_batches, texts
 
+#: Printable ASCII and its white space: classes and cases are the same to Python and to the library.
+_SIMPLE = re.compile(r"[\t-\r -~]*")
 #: White space to str.split or to the vocabulary's \\s but perhaps not to both.
 _ODD = "\x1c\x1d\x1e\x1f\x85\u180e\u200b\u2060\ufeff"
 
@@ -38,14 +39,23 @@ def byte_symbols() -> list[str]:
 
 
 class BytePairCounter:
-    """Counts tokens as a `tokenizers` file of this kind does: NFC, lower case, split, byte-level BPE."""
+    """Counts tokens as a `tokenizers` file of this kind does: NFC, lower case, split, byte-level BPE.
+
+    Simple texts are split here, others by the library's own normalizer and
+    pre-tokenizer, whose tables of letters and digits are of its Unicode version.
+    """
 
     def __init__(self, path: str, memo: int = 500_000):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.normalize, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         symbols = byte_symbols()
+        self.byte_of = {c: b for b, c in enumerate(symbols)}
         self.inner = [vocab[s] for s in symbols]
         self.last = [vocab[s + self.suffix] for s in symbols]
         self.merges: dict[tuple[int, int], tuple[int, int]] = {}
@@ -55,9 +65,11 @@ class BytePairCounter:
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]]
         if kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError(f"normalizers not handled: {kinds}")
-        self.pieces = regex.compile(next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        split = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
+        # of simple texts, these are all letters and digits
+        self.pieces = re.compile(split.replace(r"\p{L}", "a-z").replace(r"\p{N}", "0-9"))
         special = [x["content"] for x in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
+        self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         count_piece, count_word = self.merge_count, self._word
 
         class Pieces(dict):
@@ -77,7 +89,8 @@ class BytePairCounter:
         self.piece_counts, self.word_counts = Pieces(), Words()
 
     def merge_count(self, piece: str) -> int:
-        raw = piece.encode("utf-8")
+        """Tokens of a piece, written in ASCII or in the symbols of its bytes."""
+        raw = piece.encode() if piece.isascii() else bytes(map(self.byte_of.__getitem__, piece))
         n, merges = len(raw), self.merges
         if n == 1:
             return 1
@@ -112,9 +125,8 @@ class BytePairCounter:
         return count
 
     def _plain(self, text: str) -> int:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower case without regard to a word's end
-        return sum(map(self.piece_counts.__getitem__, self.pieces.findall(text.lower())))
+        pieces = self.pieces.findall(text.lower()) if _SIMPLE.fullmatch(text) else [p for p, _ in self.split(self.normalize(text))]
+        return sum(map(self.piece_counts.__getitem__, pieces))
 
     def _word(self, text: str) -> int:
         if self.special is None or "<|" not in text:
