@@ -28,7 +28,7 @@ def test_top_k_matches_brute_force(spark, bins):
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")
     vectors = topk.integer_vectors(table)
     fine = [(i, [math.floor(1024 * x) for x in v]) for i, v, _ in rows if i is not None and i not in (300, 301, 302, 303)]
-    got = topk.top_k(vectors, vectors.filter("id % 50 = 0"), k=7, bins=bins, query_block=2, candidate_block=20).collect()
+    got = topk.top_k(vectors, vectors.filter("id % 50 = 0"), k=7, bins=bins, query_block=2, candidate_block=20, group_size=24).collect()
     assert {tuple(r) for r in got} == plain_top(fine, [x for x in fine if x[0] % 50 == 0], 7) and len(got) == len(set(got))
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
 
@@ -40,6 +40,23 @@ def test_large_components_stay_exact(spark):
     assert got == plain_top([(i, [math.floor(1024 * x) for x in v]) for i, v in ((0, [3e5, 1e5]), (1, [2e5, 7e5]), (2, [-1e6, 3e6]))], [(0, [307200000, 102400000])], 10)
 
 
+@pytest.mark.parametrize("bins", [100, 2048])
+def test_scores_are_exact_to_the_range_of_a_long(spark, bins):
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1.6e6, 1.6e6) for _ in range(3)]) for i in range(60)] + [(60, [1.4e6, 1.2e6, 1e6]), (61, [1.4e6, 1.2e6, 1e6]), (62, [-2.9e6] * 3), (63, [2.9e6] * 3)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    fine = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    got = topk.top_k(vectors, vectors.filter("id % 5 = 0 or id > 59"), k=5, bins=bins).collect()
+    true = {(q, i): sum(a * b for a, b in zip(v, u)) for q, v in fine for i, u in fine}
+    held = {pair: max(-(1 << 63), min((1 << 63) - 1, s)) for pair, s in true.items()}
+    want = {(q, n + 1, i, -s) for q, _ in fine if q % 5 == 0 or q > 59 for n, (s, i) in enumerate(sorted((-held[q, i], i) for i, _ in fine if i != q)[:5])}
+    assert {tuple(r) for r in got} == want and max(true.values()) > 1 << 63 and max(s for *_, s in want) == (1 << 63) - 1
+    assert any(1 << 62 < s < (1 << 63) - 1 for *_, s in want)
+    # all candidates but one lie at the low end
+    low = topk.integer_vectors(spark.createDataFrame([(0, [3e6] * 3), *((i, [-3e6] * 3) for i in range(1, 6))], "vec_id long, embedding array<double>"))
+    assert [tuple(r) for r in topk.top_k(low, low.filter("id = 0"), k=3).orderBy("rank").collect()] == [(0, n, n, -(1 << 63)) for n in (1, 2, 3)]
+
+
 def pages():
     body = "<p>é\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n</p>" * 5
     return [(1, "http://a/1", body, 9), (2, "http://a/2\r\nX: y", body, 9), (3, None, body, 9), (4, "u", "short", 9), (5, "u", "short", 9), (6, "u", None, 9), (7, "u", "", 9), (8, "u", body + "x", 9), (9, "u", "z" * 300_000, 9), (10, "u", "z" * 300_000, 9), (10, "u", "z" * 300_000, 9), (1, "http://a/1", body, 9), (None, "u", body, 9), (None, "u", "n" * 200, 9)]
