@@ -1,7 +1,9 @@
 import gzip
 import hashlib
+import itertools
 import math
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -99,6 +101,66 @@ def test_words_are_runs_whatever_the_batch():
     assert place.tolist() == [0, 1, 6, 11, 14] and bucket[3] == quality.buckets_of(b"!!")[1][0]
 
 
+def plain_words(text):
+    """Runs of bytes of one class, but blank ones."""
+    kind = lambda b: " " if b in (0, 9, 11, 12, 13, 32) else "a" if 97 <= b <= 122 or b > 127 else "A" if 65 <= b <= 90 else "0" if 48 <= b <= 57 else b
+    runs = [bytes(g) for _, g in itertools.groupby(text, kind)]
+    return [int(quality.buckets_of(r)[1][0]) for r in runs if kind(r[0]) != " "]
+
+
+def odd_bytes():
+    rng = random.Random(3)
+    texts = [b" ".join(rng.choice([b"one", b"Two", b"33", b"--", b"!?", b"\xc3\xa9t\xc3\xa9", b"\n"]) for _ in range(rng.randrange(60))) for _ in range(30)]
+    return [*texts, b"", b" ", b"y" * 500, b"a" * 200 + b"B" * 200 + b" c", b"-" * 100 + b" 5" * 90]
+
+
+@pytest.mark.parametrize("chunk", [7, 64, 1 << 20])
+def test_cooccurrences_match_a_plain_model(chunk):
+    want = np.zeros((quality.BUCKETS, quality.DIMENSIONS))
+    for text in odd_bytes():
+        words = plain_words(text)
+        for i, a in enumerate(words):
+            for b in words[max(0, i - quality.REACH) : i] + words[i + 1 : i + 1 + quality.REACH]:
+                want[a] += quality._INDEX[b]
+    assert np.allclose(quality.cooccurrences(odd_bytes(), chunk).reshape(want.shape), want)
+
+
+def test_features_and_scores_match_a_plain_model():
+    rng = np.random.default_rng(4)
+    context = rng.normal(size=(quality.BUCKETS, quality.DIMENSIONS))
+    net = quality.Network(rng.normal(size=67), rng.uniform(1, 2, 67), rng.normal(size=(67, 5)), rng.normal(size=5), rng.normal(size=5), 0.3, 1.7)
+    got = quality.features(odd_bytes(), context)
+    for text, x in zip(odd_bytes(), got):
+        words = plain_words(text)
+        mean = [sum(table[w] for w in words) / len(words) if words else np.zeros(32) for table in (context, quality._INDEX)]
+        plain = np.concatenate([*mean, [math.sqrt(sum(v * v for v in m)) for m in mean], [math.log(1 + len(words))]])
+        assert np.allclose(x, plain)
+        hidden = [math.tanh(sum((plain[i] - net.mean[i]) / net.scale[i] * net.w1[i, j] for i in range(67)) + net.b1[j]) for j in range(5)]
+        logit = (sum(h * w for h, w in zip(hidden, net.w2)) + 0.3) / 1.7
+        assert np.allclose(net.score(x[None]), 1 / (1 + math.exp(-logit)))
+
+
+def test_a_fit_separates_and_is_calibrated():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 67))
+    share = 1 / (1 + np.exp(-3 * np.sin(x[:, 0]) - 2 * x[:, 1]))
+    y = (rng.uniform(size=3000) < share).astype(float)
+    scores = quality.fit(x[:2000], y[:2000]).score(x[2000:])
+    for low in (0.0, 0.25, 0.5, 0.75):
+        held = (scores >= low) & (scores < low + 0.25)
+        assert abs(scores[held].mean() - y[2000:][held].mean()) < 0.12
+    assert ((scores > 0.5) == y[2000:]).mean() > 0.75
+
+
+def test_a_labelled_id_that_fills_the_table_is_learned_once(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)] + [(2, 1)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 41)] + [(2, "another")] * 500, "doc_id long, text string")
+    got = quality.labelled(docs, labels, 20).collect()
+    assert len(got) == len({r.doc_id for r in got}) == 20 and all(r.y == (r.doc_id % 2 or r.doc_id == 2) for r in got)
+    ids = [r.doc_id for r in quality.labelled(docs, labels, 100).collect()]
+    assert sorted(ids) == [i for i in range(1, 41) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_scores_are_learned_and_held_out(spark):
     from tests.conftest import SF
 

@@ -58,26 +58,72 @@ def buckets_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return start, (h >> np.uint64(64 - 13)).astype(np.int64)
 
 
-def _chunks(texts: list[bytes]):
-    """(joined bytes, document number of each part, where it starts), about CHUNK bytes at a time."""
+def _cut(text: bytes, size: int) -> int:
+    """Where a part of about `size` bytes ends: no word goes on there."""
+    if len(text) <= size:
+        return len(text)
+    kind = _CLASS[np.frombuffer(text, np.uint8, size + 1)]
+    ends = np.flatnonzero(kind[1:] != kind[:-1])
+    if len(ends):
+        return int(ends[-1]) + 1
+    at = size  # one word or gap fills the part: it goes on to that one's end
+    while at < len(text):
+        differs = np.flatnonzero(_CLASS[np.frombuffer(text, np.uint8, min(size, len(text) - at), at)] != kind[0])
+        if len(differs):
+            return at + int(differs[0])
+        at += size
+    return len(text)
+
+
+def _chunks(texts: list[bytes], chunk: int = CHUNK):
+    """(joined bytes, document number of each part, where it starts), about `chunk` bytes at a time.
+
+    A very long text goes in parts, cut between words."""
     parts, owners, size = [], [], 0
+
+    def joined():
+        return b"\0".join(parts), np.array(owners), np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+
     for i, text in enumerate(texts):
+        at = 0
         while True:
-            cut = len(text)
-            if cut > CHUNK:  # a very long text goes in parts, cut at white space
-                cut = max(text.rfind(b" ", 1, CHUNK), text.rfind(b"\n", 1, CHUNK))
-                cut = CHUNK if cut < 1 else cut
-            parts.append(text[:cut])
+            end = at + _cut(text[at : at + 2 * chunk + 1] if len(text) > at + chunk else text[at:], chunk)
+            if end == at + 2 * chunk + 1:  # a word of that size
+                end = at + _cut(text[at:], chunk)
+            parts.append(text[at:end])
             owners.append(i)
-            size += cut + 1
-            text = text[cut:]
-            if size >= CHUNK:
-                yield b"\0".join(parts), np.array(owners), np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+            size += end - at + 1
+            at = end
+            if size >= chunk:
+                yield joined()
                 parts, owners, size = [], [], 0
-            if not text:
+            if at >= len(text):
                 break
     if parts:
-        yield b"\0".join(parts), np.array(owners), np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        yield joined()
+
+
+def cooccurrences(texts: list[bytes], chunk: int = CHUNK) -> np.ndarray:
+    """Summed index vectors of the words next to each bucket's words, flat; words on either side of a
+    cut in a text are neighbours like others."""
+    total = np.zeros(BUCKETS * DIMENSIONS)
+    last, last_doc = np.zeros(0, np.int64), -1
+    for data, owner, begin in _chunks(texts, chunk):
+        at, bucket = buckets_of(data)
+        doc = owner[np.searchsorted(begin, at, "right") - 1]
+        if owner[0] != last_doc:
+            last = last[:0]
+        bucket, doc = np.concatenate([last, bucket]), np.concatenate([np.full(len(last), last_doc), doc])
+        for reach in range(1, REACH + 1):
+            # pairs within what is carried over were counted before
+            same = (doc[reach:] == doc[:-reach]) & (np.arange(reach, max(len(doc), reach)) >= len(last))
+            a, b = bucket[:-reach][same], bucket[reach:][same]
+            for word, near in ((a, b), (b, a)):
+                for j in range(SPARSE):
+                    total += np.bincount(word * DIMENSIONS + _SPOTS[near, j], _SIGNS[near, j], BUCKETS * DIMENSIONS)
+        last_doc = owner[-1]
+        last = bucket[doc == last_doc][-REACH:]
+    return total
 
 
 def context_vectors(docs: DataFrame) -> np.ndarray:
@@ -86,15 +132,7 @@ def context_vectors(docs: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(BUCKETS * DIMENSIONS)
         for batch in batches:
-            for data, _, begin in _chunks(utf8(batch)):
-                at, bucket = buckets_of(data)
-                doc = np.searchsorted(begin, at, "right")
-                for reach in range(1, REACH + 1):
-                    same = doc[reach:] == doc[:-reach]
-                    a, b = bucket[:-reach][same], bucket[reach:][same]
-                    for word, near in ((a, b), (b, a)):
-                        for j in range(SPARSE):
-                            total += np.bincount(word * DIMENSIONS + _SPOTS[near, j], _SIGNS[near, j], BUCKETS * DIMENSIONS)
+            total += cooccurrences(utf8(batch))
         seen = total.reshape(BUCKETS, DIMENSIONS)
         used = np.flatnonzero(seen.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(seen[used, j]) for j in range(DIMENSIONS))], ["bucket", *(f"v{j}" for j in range(DIMENSIONS))])
@@ -178,19 +216,24 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, Network]:
-    """Context vectors of all `docs`, and the network learned from `sample` labelled rows at most.
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, y, text): `sample` labelled rows at most, those with the least hash of doc_id of what isn't held out.
 
-    The sample is the rows with the least hash of doc_id among those not held
-    out; rows that repeat a doc_id in `labels` count once, with their largest
-    label; null labels are left out.
+    Rows that repeat a doc_id in `labels` count once, with their largest label, and
+    those that repeat it in `docs` once, with the text of the least hash; null
+    labels are left out.
     """
-    bounded_batches(docs.sparkSession)
-    context = context_vectors(docs)
     known = labels.filter("quality is not null and doc_id is not null").filter(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("quality").cast("double").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # `sample` rows at most: their size is bounded by the parameter
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, Network]:
+    """Context vectors of all `docs`, and the network learned from `sample` `labelled` rows at most."""
+    bounded_batches(docs.sparkSession)
+    context = context_vectors(docs)
+    rows = labelled(docs, labels, sample)
 
     def run(batches):
         for batch in batches:
