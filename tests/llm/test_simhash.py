@@ -36,7 +36,7 @@ def test_odd_tables_match_the_plain_model(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"max_shard": 4}, {"max_shard": 2, "expected": 1}])
+@pytest.mark.parametrize("sizes", [{}, {"max_shard": 4}, {"max_shard": 2, "expected": 1, "dense": 8}, {"max_shard": 1, "dense": 4}])
 def test_links_join_what_all_pairs_join(spark, sizes):
     rng = random.Random(7)
     values = {rng.getrandbits(64) for _ in range(150)}
@@ -49,6 +49,18 @@ def test_links_join_what_all_pairs_join(spark, sizes):
     assert {v: roots.get(v, v) for v in values} == want
 
 
+def test_a_dense_group_is_cut_until_its_shards_are_small(spark):
+    rng = random.Random(12)
+    center, free = rng.getrandbits(64), rng.sample(range(64), 20)
+    values = {center}
+    while len(values) < 1500:
+        values.add(center ^ sum(1 << b for b in rng.sample(free, rng.randrange(1, 9))))
+    signed = sorted(v - (1 << 64) if v >> 63 else v for v in values)
+    roots = {r.node: r.root for r in connected_components(simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), max_shard=100)).collect()}
+    want = components(signed, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 3)
+    assert {v: roots.get(v, v) for v in signed} == want
+
+
 def test_tree_finds_what_a_scan_finds():
     rng = random.Random(3)
     tree, values = simhash.BKTree(3), []
@@ -58,25 +70,6 @@ def test_tree_finds_what_a_scan_finds():
         values.append(x)
 
 
-def test_leader_tree_keeps_the_groups():
-    rng = random.Random(9)
-    values = list({rng.getrandbits(256) for _ in range(20)})
-    values += [v ^ sum(1 << b for b in rng.sample(range(256), rng.randrange(5, 60))) for v in values for _ in range(8)]
-    rng.shuffle(values)
-    tree, up = simhash.LeaderTree(38), {}
-
-    def top(x):
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    for x in values:
-        for y in tree.neighbours(x, lambda found, y: any(top(z) == top(y) for z in found[:1])):
-            a, b = top(x), top(y)
-            up[max(a, b)] = min(a, b)
-    assert {x: top(x) for x in values} == components(values, lambda a, b: (a ^ b).bit_count() <= 38)
-
-
 def test_near_copies_by_five_words(spark):
     rng = random.Random(2)
     rows = []

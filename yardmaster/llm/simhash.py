@@ -13,12 +13,13 @@ pairs of a group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, stash, utf8
@@ -97,23 +98,23 @@ class BKTree:
         return found
 
 
-def _block_sets(blocks: int, agree: int) -> list[int]:
-    """A 64-bit mask for each choice of `agree` blocks."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    one = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:])]
-    return [sum(c) for c in combinations(one, agree)]
+def _choices(free: list[tuple[int, int]], cut: int, agree: int, fixed: int = 0) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The ranges of bits `free` are each cut in `cut`; for each choice of `agree` of these parts, the mask of
+    their bits and of `fixed`, and the other parts."""
+    parts = [(a + (b - a) * k // cut, a + (b - a) * (k + 1) // cut) for a, b in free for k in range(cut)]
+    ones = [((1 << (b - a)) - 1) << a for a, b in parts]
+    return [(fixed | sum(ones[i] for i in c), [p for i, p in enumerate(parts) if i not in c]) for c in combinations(range(len(parts)), agree)]
 
 
-def _shard_rows(fps: DataFrame, masks: list[int], level: str) -> DataFrame:
-    """A row for each fingerprint and mask; shard hashes level, mask and masked bits."""
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.array(*(F.xxhash64(F.lit(f"{level}{i}"), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in enumerate(signed)))
-    return fps.select("fp", F.explode(keys).alias("shard"))
+def _masks(spark: SparkSession, masks: list[tuple[int, int]]) -> DataFrame:
+    """(parent, choice, mask) of the numbered masks with the number of what each refines."""
+    rows = [(parent, i, m - (1 << 64) if m >> 63 else m) for i, (parent, m) in enumerate(masks)]
+    return F.broadcast(spark.createDataFrame(rows, "parent int, choice int, mask long"))
 
 
 def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
-    """Links (a, b) in each shard of `rows` (shard, tree, fp, own): `own` rows build tree `tree`,
-    the others only search it. Two shards under one key make a larger tree, never a wrong link."""
+    """Links (a, b) in each shard of `rows` (shard, fp). Two shards under one key make a larger tree,
+    never a wrong link."""
 
     def run(batches):
         key, tree, up, a, b = None, None, {}, [], []
@@ -131,12 +132,11 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
                     b.append(y)
 
         for batch in batches:
-            for shard, part, own, fp in zip(*(batch.column(c).to_pylist() for c in ("shard", "tree", "own", "fp"))):
-                if (shard, part) != key:
+            for shard, fp in zip(batch.column("shard").to_pylist(), batch.column("fp").to_pylist()):
+                if shard != key:
                     close()
-                    key, tree, up = (shard, part), BKTree(radius), {}
-                u = fp & 0xFFFFFFFFFFFFFFFF
-                for h in tree.insert(u) if own else tree.search(u):
+                    key, tree, up = shard, BKTree(radius), {}
+                for h in tree.insert(fp & 0xFFFFFFFFFFFFFFFF):
                     x, y = top(fp), top(h - (1 << 64) if h >> 63 else h)
                     up[max(x, y)] = min(x, y)
             if len(a) > 5000:
@@ -145,40 +145,43 @@ def _tree_links(rows: DataFrame, radius: int) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = rows.repartition("shard", "tree").sortWithinPartitions("shard", "tree", F.desc("own"), "fp")
+    dealt = rows.repartition("shard").sortWithinPartitions("shard", "fp")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def links(fps: DataFrame, radius: int = 3, max_shard: int = 1024, expected: int = 32) -> DataFrame:
+def links(fps: DataFrame, radius: int = 3, max_shard: int = 1024, expected: int = 32, dense: int = 12) -> DataFrame:
     """Edges (a, b) between distinct fingerprints `fps` (fp) that join the same groups as all
     links of at most `radius` bits do.
 
     The number of blocks follows the number of fingerprints, so that a shard of
-    evenly spread bits holds `expected` at most. A shard of over `max_shard`
-    fingerprints (a large group of near copies) is cut again by finer block sets;
-    what is still larger is dealt to several trees of about `max_shard`, and each
-    of its fingerprints searches each of these.
+    evenly spread bits holds `expected` at most. What two neighbours differ in lies
+    in the `radius` blocks that their shard doesn't name. So a shard of over
+    `max_shard` fingerprints (a large group of near copies) is cut again by halves
+    of these blocks, `radius` of which must agree, and so on until no more than
+    `dense` bits are open: then 2**dense fingerprints are all that it can hold. No
+    link is lost, and a fingerprint's work is bounded however large its group is.
     """
-    n = fps.count()
+    spark, n = fps.sparkSession, fps.count()
     blocks = radius + 1
     while n >> int(64 * (blocks - radius) / blocks) > expected and blocks < 3 * radius:
         blocks += 1
-    agree = blocks - radius
-    rows = _shard_rows(fps, _block_sets(blocks, agree), "a")
-    sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1")
-    sizes = stash(sizes, "shards")
-    single = [F.lit(0).alias("tree"), F.lit(True).alias("own")]
-    small = rows.join(sizes.filter(F.col("n") <= max_shard), "shard").select("shard", *single, "fp")
-    large = rows.join(sizes.filter(F.col("n") > max_shard), "shard").select("fp").distinct()
-    # finer: the pairs of a large shard agree in these block sets, too
-    finer = min(2 * radius + 2, 3 * radius)
-    again = _shard_rows(large, _block_sets(finer, finer - radius), "b")
-    counted = stash(again.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
-    parts = F.ceil(F.col("n") / max_shard).cast("int")
-    cut = again.join(counted, "shard").withColumn("mine", F.pmod(F.xxhash64("fp"), parts).cast("int"))
-    cut = cut.select("shard", "fp", "mine", F.explode(F.sequence(F.lit(0), parts - 1)).alias("tree"))
-    cut = cut.select("shard", "tree", (F.col("tree") == F.col("mine")).alias("own"), "fp")
-    return _tree_links(small.unionByName(cut), radius)
+    level = [(0, m, free) for m, free in _choices([(0, 64)], blocks, blocks - radius)]
+    rows, ready = fps.select("fp", F.lit(0).alias("choice")), []
+    while True:
+        cut = rows.withColumnRenamed("choice", "parent").join(_masks(spark, [(p, m) for p, m, _ in level]), "parent")
+        cut = cut.select("fp", "choice", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
+        cut = cut.dropDuplicates(["fp", "shard"]) if ready else cut
+        sizes = stash(cut.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
+        if max(sum(b - a for a, b in free) for *_, free in level) <= dense:
+            ready.append(cut.join(sizes, "shard").select("shard", "fp"))
+            break
+        ready.append(cut.join(sizes.filter(F.col("n") <= max_shard), "shard").select("shard", "fp"))
+        large = sizes.filter(F.col("n") > max_shard)
+        if not large.limit(1).count():
+            break
+        rows = stash(cut.join(large, "shard").select("fp", "choice"), "large-shards")
+        level = [(i, m, free) for i, (_, fixed, open_) in enumerate(level) for m, free in _choices(open_, 2, radius, fixed)]
+    return _tree_links(reduce(DataFrame.unionByName, ready), radius)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, **sizes) -> DataFrame:
@@ -199,38 +202,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, **sizes)
     return fps.join(ids, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-
-
-class LeaderTree:
-    """A BK-tree of leaders, for dense groups of near copies: who lies within the radius of a leader
-    follows it and is kept out of the tree.
-
-    A neighbour's leader lies within twice the radius, so `neighbours` looks no
-    further, and it compares followers only of leaders that `seen` doesn't vouch for.
-    """
-
-    def __init__(self, radius: int):
-        self.radius, self.tree, self.followers = radius, BKTree(2 * radius), {}
-
-    def neighbours(self, x: int, seen) -> list[int]:
-        found, leader = [], None
-        for y in self.tree.search(x):
-            d = (x ^ y).bit_count()
-            if d <= self.radius:
-                found.append(y)
-                leader = y if leader is None else leader
-            elif not seen(found, y):
-                near = next((z for z in self.followers[y] if (x ^ z).bit_count() <= self.radius), None)
-                if near is not None:
-                    found.append(near)
-        if leader is not None:
-            self.followers[leader].append(x)
-        else:
-            self.tree.insert(x)
-            self.followers[x] = []
-        return found
-
-
 def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
     """The distinct shingles' hashes in ascending order."""
     digest = xxhash.xxh64_intdigest
