@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from yardmaster.llm import packing, tokens
@@ -77,3 +78,21 @@ def test_hilbert_curve_visits_each_cell_from_a_neighbour():
         assert sorted(keys.tolist()) == list(range(len(cells)))
         path = cells[np.argsort(keys)]
         assert set(np.abs(np.diff(path, axis=0)).sum(axis=1).tolist()) == {1}
+
+
+def test_ranges_hold_about_equally_many_tokens(spark):
+    rng = random.Random(5)
+    # a third of the rows have one key, and lengths differ a thousandfold
+    key = lambda: 77 if rng.random() < 0.34 else rng.randrange(1 << 48)
+    rows = [(i, key() << packing.SPREAD | rng.randrange(1 << packing.SPREAD), rng.choice([5, 20, 60, 5000])) for i in range(6000)]
+    coded = spark.createDataFrame(rows, "doc_id long, place long, n long")
+    total = sum(r[2] for r in rows)
+    dealt = packing.ranged(coded, total // 10).select("*", F.spark_partition_id().alias("p")).collect()
+    sums, ends = {}, {}
+    for r in dealt:
+        sums[r.p] = sums.get(r.p, 0) + r.n
+        ends.setdefault(r.p, []).append(r.place)
+    assert len(dealt) == len(rows) and len(sums) >= 10 and max(sums.values()) < 1.6 * total / 10
+    inside = [ends[p] for p in sorted(ends)]
+    assert all(x == sorted(x) for x in inside) and all(a[-1] <= b[0] for a, b in zip(inside, inside[1:]))
+    assert packing.ranged(coded.limit(0)).count() == 0

@@ -3,8 +3,9 @@
 Each document's tokens are hashed to vectors, whose mean is projected to a few
 dimensions; its place on a Hilbert curve through these is the document's key.
 Documents are range-sorted by key and laid end to end, so a sequence holds
-neighbours on the curve. Each range fills whole sequences; what is left at its
-end is cut into sequences of powers of two, which need no padding.
+neighbours on the curve. Ranges hold about equally many tokens, not rows: their
+bounds are quantiles of a sample of tokens. Each range fills whole sequences; what
+is left at its end is cut into sequences of powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -23,6 +24,10 @@ from .common import bounded_batches, stash, texts
 from .tokens import split_words
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 4096
+#: Bits of a document's place below its key, from a hash, so that bounds can part documents of one key.
+SPREAD = 15
+#: Tokens a range is to hold, ranges at most, and tokens sampled a range.
+RANGE, RANGES, POINTS = 1 << 21, 100_000, 32
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -127,27 +132,56 @@ _coders: dict[tuple[str, int], WordIds] = {}
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2, memo: int = 400_000) -> DataFrame:
-    """doc_id, curve key and token ids (little-endian unsigned 32-bit, with `end_id` last) of each row."""
+    """doc_id, place, n and ids of each row: the n token ids (little-endian unsigned 32-bit, with `end_id`
+    last) and the place along the curve, key before a hash of the row's number."""
     bounded_batches(docs.sparkSession, rows=500, size="4m")
 
     def run(batches):
         key = (vocabulary, memo)
         if key not in _coders:  # kept by the Python worker for its next tasks
             _coders[key] = WordIds(vocabulary, memo)
-        tail = np.array([end_id], "<u4")
+        tail, rows = np.array([end_id], "<u4"), TaskContext.get().partitionId() << 40
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids, means = _coders[key].encode(texts(batch))
             spots = np.clip((means + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             coded = [np.concatenate([x.astype("<u4"), tail]).tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hilbert_key(spots, BITS)), pa.array(coded, pa.binary())], ["doc_id", "key", "ids"])
+            # equal rows are told apart, too, so the most frequent one is no range by itself
+            number = (np.arange(rows, rows + batch.num_rows, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            rows += batch.num_rows
+            place = (hilbert_key(spots, BITS) << SPREAD) | (number >> np.uint64(64 - SPREAD)).astype(np.int64)
+            size = pa.array([len(x) + 1 for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(place), size, pa.array(coded, pa.binary())], ["doc_id", "place", "n", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, key long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, place long, n long, ids binary")
 
 
-def pack(coded: DataFrame, length: int = 4096) -> DataFrame:
+def ranged(coded: DataFrame, tokens: int = RANGE) -> DataFrame:
+    """`coded` (place, n) dealt to ranges of about `tokens` tokens, and sorted by place within them.
+
+    One token in `tokens` / POINTS is sampled, evenly, so their number, all that the
+    driver gets, is POINTS for each of at most RANGES ranges, or a few more.
+    """
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, min(RANGES, -(-total // tokens)))
+    every = max(1, total // (parts * POINTS))
+    hits = F.floor((F.col("n") + F.pmod(F.xxhash64("place", "n"), F.lit(every))) / every).cast("long")
+    points = coded.select("place", hits.alias("hits")).filter("hits > 0").toArrow()
+    places, weights = points["place"].to_numpy(), points["hits"].to_numpy()
+    order = np.argsort(places)
+    sums = np.cumsum(weights[order])
+    bounds = places[order][np.searchsorted(sums, sums[-1] * np.arange(1, parts) / parts)] if len(sums) else np.zeros(0, np.int64)
+
+    @F.arrow_udf("int")
+    def part(place: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(bounds, place.to_numpy(), "right").astype(np.int32))
+
+    return coded.withColumn("part", part("place")).repartitionById(parts, F.col("part")).drop("part").sortWithinPartitions("place")
+
+
+def pack(coded: DataFrame, length: int = 4096, tokens: int = RANGE) -> DataFrame:
     """Pieces of documents laid in sequences of `length` tokens along the curve; see `packed`."""
 
     def run(batches):
@@ -196,8 +230,7 @@ def pack(coded: DataFrame, length: int = 4096) -> DataFrame:
         yield out()
 
     kind = coded.schema["doc_id"].dataType.simpleString()
-    ordered = coded.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
-    return ordered.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranged(coded, tokens).mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2, memo: int = 400_000) -> DataFrame:
@@ -206,8 +239,8 @@ def packed(docs: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 2
 
     A null or empty text is its `end_id` alone. Repeated rows are packed as often
     as they come, a null doc_id stays null, an empty table gives an empty result.
-    Ties on the curve are broken by doc_id, then by ids. Other columns are not
-    read. Ids are written once to the shared folder, so the sort's sampling and
-    any retry read them back instead of coding texts again.
+    Ties on the curve are laid in the order of a hash. Other columns are not
+    read. Ids are written once to the shared folder, so the sampling for the ranges
+    and any retry read them back instead of coding texts again.
     """
     return pack(stash(tokenized(docs, vocabulary, end_id, memo), "tokens"), length)
