@@ -85,6 +85,15 @@ def test_archives_come_back(spark, tmp_path):
     assert warc.round_trip(table.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_files_are_bounded_by_payload_bytes(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, "u", "".join(rng.choice("ab") for _ in range(n))) for i, n in enumerate([200] * 40 + [20_000] * 12 + [300_000] * 3)]
+    warc.write_captures(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), file_bytes=1 << 18, per_file=30)
+    sizes = [sum(len(b) for h, b in warc.parse_records(f.read_bytes()) if h["warc-type"] == "response") for f in (tmp_path / "w").rglob("*.gz")]
+    assert sum(s > 100 for s in sizes) >= 2 + 2 + 3 and max(sizes) < 300_000 + 200
+
+
+
 def test_reader_takes_members_and_plain_files():
     one = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\nab\r\n\r\n\r\n"
     for content in (one * 3, gzip.compress(one) * 3, gzip.compress(one * 3)):

@@ -33,15 +33,26 @@ def _record(kind: str, fields: dict[str, str], block) -> F.Column:
     return F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), block)
 
 
-def write_captures(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", least: int = 100, per_file: int = 5000) -> None:
+def write_captures(pages: DataFrame, path: str, date: str = "2026-01-01T00:00:00Z", least: int = 100, per_file: int = 5000, file_bytes: int = 1 << 26) -> None:
     """Archive pages (page_id, url, html), the payload being html in UTF-8 (null: empty).
 
     Of pages with equal payloads of at least `least` bytes, that with the smallest
     page_id is a response and the others revisit it; smaller payloads are all
     responses. A null page_id never names the response, unless all are null: then
     each is a response. Repeated rows of the smallest page_id are responses each.
-    Only digests, not payloads, are grouped.
+    Only digests, not payloads, are grouped. A file holds `per_file` captures and
+    `file_bytes` of payload at most, or one capture: pages are written by size, in
+    bands that differ in how many go to a file.
     """
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    low, high = -1, 1 << 14
+    while low < longest:
+        # equal payloads lie in one band
+        _write_band(pages.filter(F.coalesce(F.octet_length("html"), F.lit(0)).between(low + 1, high)), f"{path}/to-{high}", date, least, max(1, min(per_file, file_bytes // high)))
+        low, high = high, high << 3
+
+
+def _write_band(pages: DataFrame, path: str, date: str, least: int, per_file: int) -> None:
     clean = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x20\x7F]", "%20")  # noqa: E731  a header is one line
     body = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), clean(F.col("url")).alias("uri"), body.alias("body"), F.sha2(body.cast("binary"), 256).alias("digest"), F.octet_length(body).cast("long").alias("size"))
