@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, utf8
 
-BUCKETS, DIMENSIONS, SPARSE, REACH, CHUNK = 1 << 13, 32, 2, 2, 1 << 20
+BUCKETS, DIMENSIONS, SPARSE, REACH, CHUNK = 1 << 13, 32, 2, 2, 1 << 18
 
 _rng = np.random.default_rng(10)
 _SPACE = 0
