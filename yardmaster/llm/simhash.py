@@ -19,7 +19,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, connected_components, stash, utf8
@@ -220,6 +220,14 @@ def _parity(hs: np.ndarray, words: int = 16) -> np.ndarray:
     return np.packbits(np.bincount(at.astype(np.int64), minlength=64 * words) % 2 == 1, bitorder="little").view(np.int64)
 
 
+def _bands(hs: np.ndarray, bands: int = 8, rows: int = 4) -> np.ndarray:
+    """Keys that sets much alike probably have in common: hashes of the least elements of `rows` classes each."""
+    least = np.full(bands * rows, -1, np.int64)
+    kind, first = np.unique(hs & (bands * rows - 1), return_index=True)
+    least[kind] = hs[first]
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(bands, rows))], np.uint64).view(np.int64)
+
+
 def _hashed(rows: DataFrame, shingle: int) -> DataFrame:
     """(node, hs) of `rows` (node, text): the distinct shingle hashes."""
 
@@ -245,7 +253,7 @@ def _common(docs: DataFrame, shingle: int, share: int = 16, least: int = 3, most
 
 
 def _prefixed(docs: DataFrame, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, th (hash of the text), node (hash of the shingle set), n (its size), bits (`_parity`)
+    """doc_id, th (hash of the text), node (hash of the shingle set), n (its size), bits (`_parity`), `bands`
     and pre: so many of its hashes, rarest first, that two sets of `similarity` or more have one of these in common."""
     known, counts = common
 
@@ -263,20 +271,20 @@ def _prefixed(docs: DataFrame, shingle: int, similarity: float, common: tuple[np
             sets = [np.sort(_shingle_hashes(t, shingle)) for t in utf8(batch)]
             nodes = pa.array(np.array([xxhash.xxh64_intdigest(s.tobytes(), _SEED) for s in sets], np.uint64).view(np.int64))
             sizes = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), nodes, sizes, _lists([_parity(s) for s in sets]), _lists([prefix(s) for s in sets])], ["doc_id", "th", "node", "n", "bits", "pre"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), nodes, sizes, _lists([_parity(s) for s in sets]), _lists([_bands(s) for s in sets]), _lists([prefix(s) for s in sets])], ["doc_id", "th", "node", "n", "bits", "bands", "pre"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n int, bits array<long>, pre array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"doc_id {kind}, th long, node long, n int, bits array<long>, bands array<long>, pre array<long>")
+
+
+def _may_be_similar(x: Column, y: Column, p: Column, q: Column, similarity: float) -> Column:
+    """False where two sets of p and q elements differ, by their bitmaps, in more elements than `similarity` allows."""
+    apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return apart <= (p + q) * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of `pairs` (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
-    # of unlike pairs nearly all differ in more bits than such a similarity allows
-    signs = nodes.select("node", "n", "bits")
-    near = pairs.distinct().join(signs.toDF("a", "p", "x"), "a").join(signs.toDF("b", "q", "y"), "b")
-    apart = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    near = near.filter(apart <= (F.col("p") + F.col("q")) * ((1 - similarity) / (1 + similarity)) + 1e-6)
-    pairs = stash(near.select("a", "b"), "pairs")
+    """Those of the distinct `pairs` (a, b) whose shingle sets have a Jaccard similarity of `similarity` or more."""
     met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     texts_ = docs.select("text", F.xxhash64("text").alias("th")).join(nodes.select("node", "th").join(met, "node"), "th")
     sets = stash(_hashed(texts_.dropDuplicates(["node"]), shingle), "sets")
@@ -285,41 +293,58 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, shingle: int,
     return stash(both.filter(F.col("o") / (F.col("p") + F.col("q") - F.col("o")) >= similarity).select("a", "b"), "links")
 
 
+def _led(banded: DataFrame, few: int = 8) -> DataFrame:
+    """(node, least) pairs of `banded` (node, band): each node with the smallest of its band, and with the
+    smallest of about `few` nodes that a hash deals together. A group of sets that are alike, but not all
+    like its smallest, falls together by the second."""
+    sizes = stash(banded.groupBy("band").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "bands")
+    met = stash(banded.join(sizes, "band").withColumn("deal", F.pmod(F.xxhash64("node", "band"), F.ceil(F.col("size") / few))), "banded")
+    dealt = stash(met.groupBy("band", "deal").agg(F.min("node").alias("least")), "dealt")
+    return met.select("node", "least").union(met.drop("least").join(dealt, ["band", "deal"]).select("node", "least")).filter("node > least")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, max_shard: int = 16384) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable) by links of texts whose shingle sets have a
     Jaccard similarity of `similarity` or more.
 
     No link is lost and none is false, up to equal 64-bit hashes. Two such sets share
-    a hash among the rarest of each (prefix filter), which names a shard. First each
-    member of a shard is compared with the shard's smallest; then all members that
-    are still in different groups are compared, so a large group of near copies is
-    not compared pair by pair. Comparisons are of whole sets. A shard of over
+    a hash among the rarest of each (prefix filter), which names a shard. First sets
+    with a band of least hashes in common are compared with one or two of these,
+    which joins most of a large group of near copies; then members of a shard that
+    are still in different groups are compared. Bitmaps of the sets rule out nearly all unlike pairs,
+    what is left is compared by the whole sets. A shard of over
     `max_shard` is dealt to several parts, which all of its members meet. Nulls,
     repeated rows and empty tables are as in `near_duplicates`.
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = stash(_prefixed(docs, shingle, similarity, _common(docs, shingle)), "prefixes")
-    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "bits", "pre"))), "nodes")
+    nodes = stash(signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("n", "bits", "bands", "pre"))), "nodes")
     rows = nodes.select("node", "n", F.posexplode("pre").alias("at", "h"))
 
     def fits(n, at, n_, at_):
         """Sizes and the places of a common hash allow for the similarity: before its first common hash a set has none."""
         return F.least(n - at, n_ - at_) >= (n + n_) * (similarity / (1 + similarity)) - 1e-6
 
-    sizes = stash(rows.groupBy("h").agg(F.min("node").alias("least"), F.count("*").alias("size")).filter("size > 1"), "shards")
+    sizes = stash(rows.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1"), "shards")
     shared = stash(rows.join(sizes, "h"), "shared")
-    lead = shared.filter("node = least").select("h", F.col("n").alias("n_"), F.col("at").alias("at_"))
-    led = shared.filter("node > least").join(lead, "h").filter(fits(*map(F.col, ("n", "at", "n_", "at_"))))
-    found = _verified(led.select(F.col("node").alias("a"), F.col("least").alias("b")), docs, nodes, shingle, similarity)
+    led = _led(nodes.select("node", F.explode("bands").alias("band")))
+    signs = nodes.select("node", "n", "bits")
+    first = led.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    near = first.join(signs.toDF("a", "p", "x"), "a").join(signs.toDF("b", "q", "y"), "b").filter(_may_be_similar(*map(F.col, "xypq"), similarity))
+    found = _verified(stash(near.select("a", "b"), "pairs"), docs, nodes, shingle, similarity)
     grouped = shared.select("h", "node", "n", "at", "size").join(connected_components(found), "node", "left").withColumn("root", F.coalesce("root", "node"))
     grouped = stash(grouped, "grouped")
-    mixed = grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    mixed = stash(grouped.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h"), "mixed-shards")
     parts = F.ceil(F.col("size") / max_shard).cast("int")
     apart = grouped.join(mixed, "h").withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int"))
-    one = apart.select("h", "part", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "at", "root")))
-    two = apart.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "n", "at", "root")
-    others = one.join(two, ["h", "part"]).filter((F.col("root") < F.col("root_")) & fits(*map(F.col, ("n", "at", "n_", "at_")))).select(F.col("node").alias("a"), F.col("node_").alias("b"))
+    apart = stash(apart.join(signs.select("node", "bits"), "node"), "apart")
+    one = apart.select("h", "part", *(F.col(c).alias(f"{c}_") for c in ("node", "n", "at", "root", "bits")))
+    two = apart.select("h", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), "node", "n", "at", "root", "bits")
+    # the conditions are part of the join, so no other pair leaves it
+    alike = (F.col("root") < F.col("root_")) & fits(*map(F.col, ("n", "at", "n_", "at_"))) & _may_be_similar(*map(F.col, ("bits", "bits_", "n", "n_")), similarity)
+    others = one.join(two.withColumnsRenamed({"h": "h2", "part": "part2"}), (F.col("h") == F.col("h2")) & (F.col("part") == F.col("part2")) & alike)
+    others = stash(others.select(F.col("node").alias("a"), F.col("node_").alias("b")).distinct(), "pairs")
     roots = connected_components(found.union(_verified(others, docs, nodes, shingle, similarity)))
     named = stash(nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "named")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
