@@ -12,16 +12,15 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stash, texts
-from .tokens import split_words
+from .common import bounded_batches, stash
 
 DIMENSIONS, BITS, BUCKETS = 4, 12, 4096
 #: Bits of a document's place below its key, from a hash, so that bounds can part documents of one key.
@@ -63,7 +62,9 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
 class WordIds:
     """Token ids of white-space-separated words by the library, kept in flat tables.
 
-    Words new to a batch are coded in one call on their joined text and told apart
+    A batch is split and its words told apart in Arrow, so that each is looked up
+    once. They are parted at ASCII white space only; other white space inside a
+    word is the library's to handle. Words new to a batch are coded in one call on their joined text and told apart
     by the tokens' offsets. Beyond `memo` words a batch's new words are forgotten
     after it.
     """
@@ -97,10 +98,12 @@ class WordIds:
         hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)  # the top 12 bits: BUCKETS
         return ids, counts, _sums(self.directions[hashed], np.cumsum(counts))
 
-    def encode(self, batch: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
-        """The ids of each text, and the mean vector of each."""
-        words = list(map(split_words, batch))
-        flat = np.fromiter(map(self.at.__getitem__, chain.from_iterable(words)), np.int64)
+    def encode(self, batch: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each text (null: empty), and the mean vector of each."""
+        words = pc.ascii_split_whitespace(pc.fill_null(batch.cast(pa.large_string()), ""))
+        told = words.flatten().dictionary_encode()
+        places = np.fromiter(map(self.at.__getitem__, told.dictionary.to_pylist()), np.int64, len(told.dictionary))
+        flat = places[told.indices.to_numpy()]
         ids, ends, vector = self.ids, self.ends, self.vector
         if self.new:
             ids_, counts, vector_ = self.coded(self.new)
@@ -116,7 +119,7 @@ class WordIds:
         length = (begins[1:] - begins[:-1])[flat]
         after = np.cumsum(length)
         out = ids[np.repeat(begins[flat] - after + length, length) + np.arange(length.sum())]
-        cut = np.cumsum([*map(len, words)])
+        cut = np.cumsum(pc.list_value_length(words).to_numpy())
         tokens = np.concatenate([[0], after])[np.concatenate([[0], cut])]
         means = _sums(vector[flat], cut) / np.maximum(np.diff(tokens), 1)[:, None]
         return [out[a:b] for a, b in zip(tokens, tokens[1:])], means
@@ -134,7 +137,7 @@ _coders: dict[tuple[str, int], WordIds] = {}
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2, memo: int = 400_000) -> DataFrame:
     """doc_id, place, n and ids of each row: the n token ids (little-endian unsigned 32-bit, with `end_id`
     last) and the place along the curve, key before a hash of the row's number."""
-    bounded_batches(docs.sparkSession, rows=500, size="4m")
+    bounded_batches(docs.sparkSession, rows=1000, size="8m")
 
     def run(batches):
         key = (vocabulary, memo)
@@ -144,7 +147,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 2, memo: int = 400
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, means = _coders[key].encode(texts(batch))
+            ids, means = _coders[key].encode(batch.column("text"))
             spots = np.clip((means + 0.5) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
             coded = [np.concatenate([x.astype("<u4"), tail]).tobytes() for x in ids]
             # equal rows are told apart, too, so the most frequent one is no range by itself
