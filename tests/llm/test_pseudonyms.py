@@ -1,4 +1,6 @@
 import datetime
+import hashlib
+import random
 import re
 
 from yardmaster.llm import pseudonyms
@@ -75,3 +77,73 @@ def test_odd_tables(spark):
     long = spark.createDataFrame([(1, "w" * 200_000 + " a@b.org " + "1" * 5000 + " 10.1.2.3 " * 2000)], "doc_id long, text string")
     row = pseudonyms.pseudonymized(long, "k").first()
     assert row.n_replaced == 2001 and "10.1.2.3" not in row.text
+
+
+def plain_prf(key, kind, turn, x):
+    return hashlib.sha512(f"{key}|{kind}|{turn}|{x}".encode()).hexdigest()
+
+
+def plain_numbers(key, kind, a, b, n_a, n_b):
+    for t in range(8):
+        if t % 2 == 0:
+            a = (a + int(plain_prf(key, kind, t, b)[:12], 16)) % n_a
+        else:
+            b = (b + int(plain_prf(key, kind, t, a)[:12], 16)) % n_b
+    return a, b
+
+
+def plain_text(key, kind, text, alphabets):
+    a, b = text[: len(text) // 2], text[len(text) // 2 :]
+
+    def moved(x, stream):
+        out = ""
+        for i, c in enumerate(x):
+            by = int(stream[i % 32 * 4 : i % 32 * 4 + 4], 16)
+            home = next((s for s in alphabets if c in s), None)
+            out += home[(home.index(c) + by) % len(home)] if home else c
+        return out
+
+    for t in range(8):
+        if t % 2 == 0:
+            a = moved(a, plain_prf(key, kind, t, b))
+        else:
+            b = moved(b, plain_prf(key, kind, t, a))
+    return a + b
+
+
+def plain_card(key, digits):
+    body = plain_text(key, "card", digits[:-1], ["0123456789"])
+    total = sum(d if i % 2 else d // 5 + d * 2 % 10 for i, d in enumerate(map(int, reversed(body))))
+    return body + str(-total % 10)
+
+
+def plain_ssn(key, ssn):
+    area, group, serial = map(int, ssn.split("-"))
+    a, b = plain_numbers(key, "ssn", area - 1 if area < 666 else area - 2, (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+    return f"{a + 1 if a < 665 else a + 2:03}-{b // 9999 + 1:02}-{b % 9999 + 1:04}"
+
+
+def plain_day(key, day):
+    n = (datetime.date.fromisoformat(day) - datetime.date(1800, 1, 1)).days
+    a, b = plain_numbers(key, "date", n // 773, n % 773, 189, 773)
+    return (datetime.date(1800, 1, 1) + datetime.timedelta(a * 773 + b)).isoformat()
+
+
+def test_pseudonyms_equal_a_plain_model(spark):
+    rng = random.Random(14)
+    want = []
+    for i in range(60):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        total = sum(d if k % 2 else d // 5 + d * 2 % 10 for k, d in enumerate(map(int, reversed(body))))
+        card = body + str(-total % 10)
+        ssn = f"{rng.choice([1, 665, 667, 899, rng.randrange(1, 666)]):03}-{rng.randrange(1, 100):02}-{rng.randrange(1, 10000):04}"
+        day = (datetime.date(1800, 1, 1) + datetime.timedelta(rng.randrange(146097))).isoformat()
+        ip = [rng.randrange(256) for _ in range(4)]
+        a, b = plain_numbers("k", "ipv4", ip[0] * 256 + ip[1], ip[2] * 256 + ip[3], 1 << 16, 1 << 16)
+        secret = "".join(rng.choice("0123456789abcdef") for _ in range(rng.randrange(32, 65)))
+        text = f"card {card}, ssn {ssn}; day {day} at {'.'.join(map(str, ip))} has {secret}!"
+        new = f"card {plain_card('k', card)}, ssn {plain_ssn('k', ssn)}; day {plain_day('k', day)} at {a >> 8}.{a & 255}.{b >> 8}.{b & 255} has {plain_text('k', 'hex', secret, ['0123456789abcdef'])}!"
+        want.append((i, text, new))
+    got = pseudonyms.pseudonymized(spark.createDataFrame([(i, t, 1) for i, t, _ in want], "doc_id long, text string, n_replaced int"), "k")
+    assert got.columns == ["doc_id", "text", "n_replaced", "_n_replaced"]
+    assert {r.doc_id: r.text for r in got.collect()} == {i: new for i, _, new in want}

@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 ROUNDS = 8
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_.+\-])", r"(?![\p{L}\p{N}_])"
 EMAIL = r"[\p{L}\p{N}._%+\-]{1,64}+@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8}"
@@ -247,8 +249,10 @@ def pseudonymized(docs: DataFrame, key: str, text: str = "text", count: str | No
     A null text stays null and counts 0; texts without values are unchanged;
     repeated rows repeat. The work is row by row: nothing is shuffled. `key` is
     secret; whoever has it can undo the permutation. Slashed dates are read month
-    first, else day first.
+    first, else day first. Where a column is called as `count` is, the new one has
+    underscores in front.
     """
+    (count,) = unused(docs.columns, count) if count else (None,)
     t = F.col(text)
     rebuilt = let(
         F.regexp_extract_all(t, F.lit(f"({ANY})"), F.lit(1)),
