@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from yardmaster.functions import names
 from yardmaster.functions.expressions import Compiler, ExpressionError, attributes, parse, references
-from yardmaster.operators import store
+from yardmaster.operators import matching, store
 from yardmaster.sources import ad_text
 from yardmaster.streaming import changes
 
@@ -53,8 +53,13 @@ def test_expiry_is_strict_and_spares_the_unheard(spark):
     assert left(1010) == {"a", "b", "c"} and left(1011) == {"a", "c"} and left(1900) == {"a", "c"} and left(1901) == {"c"}
 
 
-def test_secrets_never_leave(spark):
+def test_secrets_never_leave(spark, monkeypatch):
+    monkeypatch.setattr(names, "PRIVATE_PREFIX", "_abc_priv")
     ads = spark.createDataFrame([("n", 4, "s1", "s2", "s3")], "Name string, Cpus long, ClaimId string, Capability string, _abc_PrivKey string")
+    assert store.private_columns(["_ABC_PRIVkey", "_other_private_note", "claimIDs", "Claim"]) == ["_ABC_PRIVkey", "claimIDs"]
+    assert matching.fixed_slots(ads).columns == ["Name", "Cpus", "ClaimId", "Capability", "SlotWeight", "MachineMatchCount"]
+    text = spark.createDataFrame([("_abc_PrivKey = 1\n_other_private_note = 2",)], "text string").select(ad_text.sanitized(F.col("text"))).first()[0]
+    assert text == '_abc_PrivKey = "<redacted>"\n_other_private_note = 2'
     assert store.run_query(ads, store.Query(projection=("ClaimId", "Cpus", "capability"))).columns == ["Cpus"]
     assert store.any_ads({"machine": ads, "machine_private": ads}).columns == ["Name", "Cpus"]
     text = ad_text.sanitized(F.lit('Name = "a"\nclaimid = "secret"\n_abc_PrivX = "secret"'))

@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ROOT_GROUP = "<none>"
 DEFAULT_LIMIT = 2308032.0
-#: Attributes that never leave the store, by lower-case name; names with the private prefix don't either.
+#: Attributes that never leave the store, by lower-case name.
 PRIVATE = ("capability", "childclaimids", "claimid", "claimidlist", "claimids", "transferkey")
-PRIVATE_PREFIX = r"(?i)^_[a-z]+_priv"
+#: Names that begin so, in any case, don't leave it either. Deployments give the prefix of their ads; none by default.
+PRIVATE_PREFIX = os.environ.get("AD_PRIVATE_PREFIX", "")
+
+
+def is_private(name: str, prefix: str | None = None) -> bool:
+    prefix = PRIVATE_PREFIX if prefix is None else prefix
+    return name.lower() in PRIVATE or bool(prefix) and name.lower().startswith(prefix.lower())
 
 
 def _col(x) -> Column:
@@ -20,18 +29,29 @@ def blank_to_null(c) -> Column:
     return F.nullif(_col(c), F.lit(""))
 
 
-def ad_key(name, machine=None, address=None, slot_id=None, extra_name=None) -> Column:
-    """Primary key of an ad: its name, else its machine, and its address; null where it has no name.
+def ad_key(table: str, get: Callable[[str], Column]) -> Column:
+    """Primary key of an ad of `table`: name, a zero character, address; null without Name and Machine.
 
-    A machine's slot number or a submitter's scheduler name extends the name.
+    `get` gives an attribute as text, null where the ad lacks it. A machine's slot
+    number and a submitter's scheduler name extend the name, and their addresses
+    have a second source; masters have none.
     """
-    base = blank_to_null(name) if machine is None else F.coalesce(blank_to_null(name), blank_to_null(machine))
-    if slot_id is not None:
-        suffix = F.coalesce(F.concat(F.lit(":"), _col(slot_id).cast("string")), F.lit(""))
-        base = F.when(blank_to_null(name).isNull(), F.concat(base, suffix)).otherwise(base)
-    if extra_name is not None:
-        base = F.concat(base, F.coalesce(_col(extra_name), F.lit("")))
-    return F.concat(base, F.lit("\0"), F.coalesce(_col(address), F.lit("")) if address is not None else F.lit(""))
+    name, extra, address = F.coalesce(blank_to_null(get("Name")), blank_to_null(get("Machine"))), F.lit(""), [blank_to_null(get("MyAddress"))]
+    if table in ("machine", "machine_private"):
+        extra = F.coalesce(F.concat(F.lit(":"), blank_to_null(get("SlotID"))), F.lit(""))
+        address.append(blank_to_null(get("StartdIpAddr")))
+    elif table in ("scheduler", "submitter"):
+        extra = F.coalesce(get("ScheddName"), F.lit(""))
+        address.append(blank_to_null(get("ScheddIpAddr")))
+    elif table == "master":
+        address = []
+    return F.concat(name, extra, F.lit("\0"), F.coalesce(*address, F.lit("")))
+
+
+def key_of(table: str, columns: list[str]) -> Column:
+    """`ad_key` of a row with these columns."""
+    have = {c.lower(): c for c in columns}
+    return ad_key(table, lambda n: F.col(have[n.lower()]).cast("string") if n.lower() in have else F.lit(None).cast("string"))
 
 
 def charged_group(user) -> Column:

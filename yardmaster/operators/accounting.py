@@ -102,6 +102,21 @@ def group_rollup(resources: DataFrame, user: str = "RemoteUser") -> DataFrame:
     return up.groupBy("name").agg(exact_sum(F.when(F.col("group") == F.col("name"), F.col("weighted")).otherwise(0.0)).alias("weighted"), exact_sum("weighted").alias("hier_weighted"))
 
 
+def still_claimed(slots: DataFrame, customer: Column, out: str = "held") -> DataFrame:
+    """Whether each slot is claimed, or being preempted, and by `customer`."""
+    state, holder = F.coalesce(F.lower("State"), F.lit("")), F.coalesce("RemoteUser", F.lit(""))
+    return slots.withColumn(out, state.isin("claimed", "preempting") & (holder == customer))
+
+
+def strict_caps(used: DataFrame, caps: DataFrame, slots: float) -> DataFrame:
+    """(node, slots): what each group of `used` (node, used) may still take of `slots` under the groups above
+    it, and itself, that accept no surplus: `caps` (group, cap) has these."""
+    above = used.select("node", "used", F.explode(ancestors("node")).alias("group"))
+    below = above.groupBy("group").agg(exact_sum("used").alias("subtree"))
+    left = above.join(below, "group").join(caps, "group")
+    return left.groupBy("node").agg(F.least(F.lit(slots), F.min(F.greatest(F.lit(0.0), F.col("cap") - F.col("subtree")))).alias("slots"))
+
+
 def live_resources(resources: DataFrame, slots: DataFrame) -> DataFrame:
     """Claims whose slot is still claimed by the same customer; the others are stale."""
     held = slots.filter(F.lower("State").isin("claimed", "preempting")).select(F.col("key"), F.col("RemoteUser").alias("holder"))

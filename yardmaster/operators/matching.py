@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Compiler, attributes, parse, references
-from ..functions.names import ancestors, charged_group, claim_id, limit_tokens, remote_user, slot_weight
+from ..functions.names import PRIVATE, ROOT_GROUP, ancestors, charged_group, claim_id, is_private, limit_tokens, remote_user, slot_weight
 
 LOWEST, LOWEST_FLOAT = -1.7976931348623157e308, -3.4028234663852886e38
 #: Tiers, better ones higher.
 PRIO, RANK, NO_PREEMPTION = 0, 1, 2
 
 
-def fixed_slots(slots: DataFrame, weight_default: str = "Cpus") -> DataFrame:
-    """Slots as the matchmaker sees them: negotiator requirements in force, a weight that is a number,
-    no admin capability or list of offline matches."""
+def fixed_slots(slots: DataFrame, weight_default: str = "Cpus", admin: tuple[str, ...] = ()) -> DataFrame:
+    """Slots as the matchmaker sees them: negotiator requirements in force, a weight that is a number, no list
+    of offline matches, and none of the attributes that `admin` names or the private prefix marks."""
     out, have = slots, {c.lower(): c for c in slots.columns}
     if "negotiatorrequirements" in have and "requirements" in have:
         theirs, own = F.col(have["negotiatorrequirements"]), F.col(have["requirements"])
@@ -29,7 +29,7 @@ def fixed_slots(slots: DataFrame, weight_default: str = "Cpus") -> DataFrame:
     weight = F.col("SlotWeight").try_cast("double") if "slotweight" in have and dict(slots.dtypes)[have["slotweight"]] == "string" else F.col("SlotWeight") if "slotweight" in have else F.lit(None)
     default, kind = Compiler(attributes(slots))(weight_default)
     out = out.withColumn("SlotWeight", F.coalesce(weight.cast("double"), default.cast("double") if kind in ("int", "real") else F.lit(None).cast("double"), F.lit(1.0)))
-    return out.withColumn("MachineMatchCount", F.lit(0)).drop("OfflineMatches", "AdminCapability", "NegotiatorRequirements")
+    return out.withColumn("MachineMatchCount", F.lit(0)).drop("OfflineMatches", "NegotiatorRequirements", *(c for c in slots.columns if c.lower() in {a.lower() for a in admin} or is_private(c) and c.lower() not in PRIVATE))
 
 
 def trimmed_slots(slots: DataFrame, preemption: bool) -> DataFrame:
@@ -39,6 +39,16 @@ def trimmed_slots(slots: DataFrame, preemption: bool) -> DataFrame:
     return slots.filter(~F.coalesce(F.col("State").isin("Claimed", "Preempting"), F.lit(False)) | F.coalesce(F.col("PartitionableSlot"), F.lit(False)))
 
 
+def autoregrouped(submitters: DataFrame, regroups: Column, group: str = "group") -> DataFrame:
+    """Submitters of groups that regroup (`regroups`) negotiate in the root group, too."""
+    return submitters.unionByName(submitters.filter(regroups).withColumn(group, F.lit(ROOT_GROUP)))
+
+
+def with_priority(submitters: DataFrame, ledger: DataFrame, name: str = "Name", priority: str = "priority", unknown: float = 500.0) -> DataFrame:
+    """Each submitter with the ledger's priority (name, priority); `unknown` for those that it lacks."""
+    return submitters.join(ledger.select(name, F.col(priority).alias("_p")).dropDuplicates([name]), name, "left").withColumn(priority, F.coalesce("_p", F.lit(unknown))).drop("_p")
+
+
 def kept_submitters(submitters: DataFrame) -> DataFrame:
     named = (F.coalesce(F.col("Name"), F.lit("")) != "") & (F.coalesce(F.col("ScheddIpAddr"), F.lit("")) != "")
     skip = F.coalesce(F.col("SkipMatchmaking"), F.lit(False)) if "SkipMatchmaking" in submitters.columns else F.lit(False)

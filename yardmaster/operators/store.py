@@ -13,8 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import names
 from ..functions.expressions import Compiler, attributes
-from ..functions.names import PRIVATE, PRIVATE_PREFIX
+from ..functions.names import PRIVATE, is_private
 
 DEFAULT_LIFETIME = 900
 
@@ -25,7 +26,8 @@ def received(updates: DataFrame, now: int) -> DataFrame:
 
 
 def latest(updates: DataFrame, key: str | list[str] = "key", order: list[str] | None = None) -> DataFrame:
-    """The last update of each key; `order` ends in a unique column. A partial aggregate, no sort."""
+    """The last update of each key; `order` ends in a unique column. An arg-max with a partial aggregate, which
+    Spark sorts by key, since rows have no fixed width."""
     keys = [key] if isinstance(key, str) else key
     rest = [c for c in updates.columns if c not in keys]
     last = F.max_by(F.struct(*rest), F.struct(*(order or ["LastHeardFrom", "seq"])))
@@ -48,7 +50,7 @@ def newest_version(updates: DataFrame, key: str = "key", start: str = "DaemonSta
 
 
 def private_columns(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.lower() in PRIVATE or re.match(PRIVATE_PREFIX, c)]
+    return [c for c in columns if is_private(c)]
 
 
 def redacted(ads: DataFrame) -> DataFrame:
@@ -56,7 +58,8 @@ def redacted(ads: DataFrame) -> DataFrame:
 
 
 def redacted_map(attrs: Column) -> Column:
-    return F.map_filter(attrs, lambda k, _: ~(F.lower(k).isin(*PRIVATE) | k.rlike(PRIVATE_PREFIX)))
+    prefixed = lambda k: F.lower(k).startswith(names.PRIVATE_PREFIX.lower()) if names.PRIVATE_PREFIX else F.lit(False)
+    return F.map_filter(attrs, lambda k, _: ~(F.lower(k).isin(*PRIVATE) | prefixed(k)))
 
 
 def projection_list(text: str | None) -> list[str]:

@@ -105,9 +105,30 @@ def f14_storage_stats(slots, submitters):
 # ---- keys, upserts, versions, deletes, expiry
 
 
-@query("select Name, concat(Name, '|', MyAddress) as k from slots", "slots")
+_KEYS = """select tbl, case when tbl = 'machine' then Name || coalesce(':' || slot, '') || '|' || coalesce(nullif(addr, ''), '<startd>')
+  when tbl = 'master' then Name || '|' when tbl in ('scheduler', 'submitter') then Name || coalesce(schedd, '') || '|' || coalesce(nullif(addr, ''), '<schedd>') else Name || '|' || coalesce(addr, '') end as k
+from (select case when ScanIndex % 9 = 0 then MyType else Name end as Name, case when ScanIndex % 3 = 0 then cast(ScanIndex as string) end as slot, case ScanIndex % 4 when 0 then '' when 1 then MyAddress end as addr,
+  case when ScanIndex % 2 = 0 then 'schedd' end as schedd, unnest(['machine', 'scheduler', 'submitter', 'master', 'negotiator']) as tbl from slots)"""
+
+
+def _keyed(slots: DataFrame) -> DataFrame:
+    """Ads of each kind; some lack the name, the slot number, the scheduler's name or the address."""
+    return slots.select(
+        F.expr("case when ScanIndex % 9 = 0 then '' else Name end").alias("Name"), F.col("MyType").alias("Machine"), F.expr("case when ScanIndex % 3 = 0 then ScanIndex end").alias("SlotID"),
+        F.expr("case ScanIndex % 4 when 0 then '' when 1 then MyAddress end").alias("MyAddress"), F.lit("<startd>").alias("StartdIpAddr"), F.expr("case when ScanIndex % 2 = 0 then 'schedd' end").alias("ScheddName"), F.lit("<schedd>").alias("ScheddIpAddr"),
+    )
+
+
+def _all_tables(key) -> F.Column:
+    """A row for each kind of table: its key as text."""
+    pairs = [F.struct(F.lit(t).alias("tbl"), F.replace(key(t), F.lit("\0"), F.lit("|")).alias("k")) for t in ("machine", "scheduler", "submitter", "master", "negotiator")]
+    return F.explode(F.array(*pairs)).alias("x")
+
+
+@query(_KEYS, "slots")
 def a5_hash_key(slots):
-    return slots.select("Name", F.replace(names.ad_key("Name", "Name", "MyAddress"), F.lit("\0"), F.lit("|")).alias("k"))
+    ads = _keyed(slots)
+    return ads.select(_all_tables(lambda t: names.key_of(t, ads.columns))).select("x.*")
 
 
 @query("select key, arg_max(State, seq) as State, max(seq) as seq, arg_max(Load, seq) as Load from updates group by key", "updates")
@@ -174,9 +195,10 @@ def a2_parse_text(slots):
     return parsed.select("key", value("Name").alias("Name"), value("Cpus").cast("long").alias("Cpus"), value("State").alias("State"))
 
 
-@query("select key, Name from slots", "slots")
+@query(_KEYS, "slots")
 def a6_key_from_text(slots):
-    return _as_text(slots).select("key", ad_text.name_in_text(F.col("text")).alias("Name"))
+    ads = _keyed(slots)
+    return ads.select(ad_text.written(ads).alias("text")).select(_all_tables(lambda t: ad_text.key_in_text(F.col("text"), t))).select("x.*")
 
 
 @query("select key, concat('Name = \"', Name, '\"', chr(10), 'Cpus = ', cast(Cpus as string)) as copied from slots", "slots")
@@ -194,9 +216,13 @@ def j16_int_from_text(slots):
     return _as_text(slots).select("key", ad_text.integer_in_text(F.col("text"), "Cpus").alias("Cpus"))
 
 
-@query("select 'machine' as tbl, count(*) as ads from slots", "slots")
+@query("select case ScanIndex % 3 when 0 then 'machine' else 'submitter' end as tbl, count(*) as ads from slots where ScanIndex % 3 < 2 group by 1 union all select 'machine_private', count(*) from slots", "slots")
 def a14_route_by_type(slots):
-    return _as_text(slots).select(ad_text.table_of(ad_text.attributes(F.col("text"))).alias("tbl")).groupBy("tbl").agg(F.count("*").alias("ads"))
+    """Machines, submitters and ads of no known type, which are passed over; and a private source."""
+    kinds = slots.withColumn("MyType", F.expr("case ScanIndex % 3 when 0 then 'MACHINE' when 1 then 'Submitter' else 'Widget' end"))
+    attrs = _as_text(kinds).select(ad_text.attributes(F.col("text")).alias("attrs"))
+    routed = attrs.select(ad_text.table_of(F.col("attrs")).alias("tbl")).unionByName(attrs.select(ad_text.table_of(F.col("attrs"), private=True).alias("tbl")))
+    return routed.filter("tbl is not null").groupBy("tbl").agg(F.count("*").alias("ads"))
 
 
 # ---- change streams
@@ -314,12 +340,22 @@ def f13_resource_list(claims):
     return accounting.resource_list(claims, "g4.h1.user4@pool").select("n", "key", "SlotWeight")
 
 
-@query("""with s as (select name, count(*) as n from claims join (select name from customers) on RemoteUser = name where StartTime % 2 = 0 group by name)
-select name, cast(greatest(ResourcesUsed + coalesce(n, 0), 0) as bigint) as ResourcesUsed from customers left join s using (name)""", "customers", "claims")
+#: The ledger's name of a claim's holder.
+_HOLDER = "concat('g', cast(k % 5 as string), case when k % 3 = 0 then '.h' else '' end, '.user', cast(k as string), case when k % 10 = 0 then '' when k % 7 = 0 then '@far' else '@pool' end)"
+_NUMBER = "cast(regexp_extract(RemoteUser, 'user([0-9]+)@', 1) as bigint) as k"
+
+
+@query(f"""with c as (select *, {_NUMBER} from claims), s as (
+  select {_HOLDER} as name, 1 as n, SlotWeight as w, 1010000 - StartTime as t from c
+  union all select {_HOLDER}, -1, -SlotWeight, StartTime + 500 - greatest(StartTime, 1010000) from c where StartTime % 3 = 0
+), m as (select name, sum(n) as n, sum(w) as w, sum(t) as t, sum(t * abs(w)) as wt from s group by name)
+select name, cast(greatest(ResourcesUsed + coalesce(n, 0), 0) as bigint) as ResourcesUsed, greatest(WeightedResourcesUsed + coalesce(w, 0), 0) as WeightedResourcesUsed,
+  cast(UnchargedTime + coalesce(t, 0) as bigint) as UnchargedTime, WeightedUnchargedTime + coalesce(wt, 0) as WeightedUnchargedTime from customers left join m using (name)""", "customers", "claims")
 def n7_charge_matches(customers, claims):
-    started = claims.filter("StartTime % 2 = 0").select(F.col("RemoteUser").alias("name"), F.col("StartTime").alias("at"), F.col("SlotWeight").alias("weight"))
-    ended = started.limit(0).select("name", "at", F.col("at").alias("start"), "weight")
-    return accounting.charge_matches(customers, started, ended, 1000000).select("name", "ResourcesUsed")
+    """All claims begin, and a third end, since the last tick or before it."""
+    held = claims.selectExpr("*", _NUMBER).selectExpr(f"{_HOLDER} as name", "StartTime as at", "SlotWeight as weight")
+    ended = held.filter("at % 3 = 0").select("name", (F.col("at") + 500).alias("at"), F.col("at").alias("start"), "weight")
+    return accounting.charge_matches(customers, held, ended, 1010000).select("name", "ResourcesUsed", "WeightedResourcesUsed", "UnchargedTime", "WeightedUnchargedTime")
 
 
 @query("select name, case when ResourcesUsed > 3 then greatest(cast(ResourcesUsed - 4 as double), 1.0::double) else PriorityFactor end as PriorityFactor from customers", "customers")
@@ -332,15 +368,23 @@ def n6_reset_usage(customers):
     return accounting.reset_usage(customers, 5, customers.filter("ResourcesUsed = 0")).select("name", "AccumulatedUsage")
 
 
-@query("select key from claims where StartTime % 3 <> 0", "claims")
+@query("select key from claims where StartTime % 3 <> 0 and StartTime % 5 <> 0 and StartTime % 7 <> 0", "claims")
 def e6_stale_claims(claims):
-    live = claims.filter("StartTime % 3 <> 0").select("key", F.lit("CLAIMED").alias("State"), "RemoteUser")
+    """Some slots are free again, some have another holder, some are gone."""
+    state, holder = F.expr("case StartTime % 3 when 0 then 'Unclaimed' when 1 then 'CLAIMED' else 'Preempting' end"), F.expr("case when StartTime % 5 = 0 then concat('not.', RemoteUser) else RemoteUser end")
+    live = claims.filter("StartTime % 7 <> 0").select("key", state.alias("State"), holder.alias("RemoteUser"))
     return accounting.live_resources(claims, live).select("key")
 
 
-@query("select name, ResourcesUsed as a, cast(null as bigint) as b from customers where ResourcesUsed = 6", "customers")
+@query("""select name, AccumulatedUsage + 100 as a, case when ResourcesUsed = 5 then AccumulatedUsage + 101 end as b from customers where ResourcesUsed in (5, 6)
+union all select 'new.' || name, null, AccumulatedUsage + 100 from customers where ResourcesUsed = 3""", "customers")
 def e10_ledger_difference(customers):
-    return accounting.ledger_difference(customers, customers.filter("ResourcesUsed < 6"), ["name"], "ResourcesUsed")
+    """The other ledger lacks some customers, has some of its own, and differs for others by much or within the tolerance."""
+    left = customers.withColumn("AccumulatedUsage", F.col("AccumulatedUsage") + 100)
+    usage = F.col("AccumulatedUsage") + F.expr("case ResourcesUsed when 5 then 1.0D when 4 then 1e-11D else 0.0D end")
+    right = left.filter("ResourcesUsed < 6").withColumn("AccumulatedUsage", usage)
+    own = left.filter("ResourcesUsed = 3").withColumn("name", F.concat(F.lit("new."), F.col("name")))
+    return accounting.ledger_difference(left, right.unionByName(own), ["name"], "AccumulatedUsage")
 
 
 # ---- names and limits
@@ -400,9 +444,11 @@ def d10_below_floor(submitters):
     return store.matching(submitters, "floor > 0 && usage < floor").select("Name")
 
 
-@query("select key, Cpus as SlotWeight, 0 as MachineMatchCount from slots", "slots")
+@query("select key, Cpus as SlotWeight, 0 as MachineMatchCount, case when Cpus > 9 then 'neg' else 'own' end as Requirements, case when Cpus > 9 then 'own' end as SavedRequirements, ClaimId from slots", "slots")
 def c10_fixed_slots(slots):
-    return matching.fixed_slots(slots.drop("SlotWeight")).select("key", F.col("SlotWeight").cast("long").alias("SlotWeight"), "MachineMatchCount")
+    asked = slots.drop("SlotWeight").withColumns({"Requirements": F.lit("own"), "NegotiatorRequirements": F.expr("case when Cpus > 9 then 'neg' end"), "RemoteAdmin": F.lit("secret"), "OfflineMatches": F.lit(1)})
+    fixed = matching.fixed_slots(asked, admin=("remoteadmin",)).withColumn("SlotWeight", F.col("SlotWeight").cast("long"))
+    return fixed.select("key", "MachineMatchCount", *(c for c in fixed.columns if c not in asked.columns and c != "MachineMatchCount" or c in ("RemoteAdmin", "OfflineMatches", "NegotiatorRequirements", "Requirements", "ClaimId")))
 
 
 @query("select s.key, case when Cpus > 20 then ClaimId else 'null' end as claim from slots s", "slots")
@@ -493,10 +539,10 @@ def f16_reject_reason(slots):
     return matching.reject_reasons(slots.select(F.col("State").alias("group"), why.alias("why")), "group").select("group", "reason")
 
 
-@query("select Name, cast(row_number() over (order by prio, case when floor > 0 then usage / floor else 3.4028234663852886e38 end, LastHeardFrom % 1009, index) as int) as turn from submitters", "submitters")
+@query("select Name, cast(row_number() over (partition by top order by prio, case when floor > 0 then usage / floor else 3.4028234663852886e38 end, LastHeardFrom % 1009, index) as int) as turn from submitters", "submitters")
 def g4_submitter_order(submitters):
-    ranked = submitters.withColumn("starvation", names.starvation("usage", "floor")).withColumn("all", F.lit(0))
-    return store.ranked(ranked, ["all"], negotiation.submitter_order(submitters), "turn").select("Name", "turn")
+    ranked = submitters.withColumn("starvation", names.starvation("usage", "floor"))
+    return store.ranked(ranked, ["top"], negotiation.submitter_order(submitters), "turn").select("Name", "turn")
 
 
 @query("select RequestCpus, RequestMemory, DesiredArch, count(*) as requests, min(request_id) as first_request from requests group by 1, 2, 3", "requests")
@@ -682,10 +728,10 @@ def n8_remove_matches(customers):
     return accounting.charge_matches(customers, two.limit(0).select("name", "at", "weight"), two, 1000000).select("name", "ResourcesUsed")
 
 
-@query("select Name, prio as priority from submitters where prio = (select min(prio) from submitters)", "submitters")
+@query("with p as (select Name, case when index % 3 <> 0 then prio else 500.0::double end as priority from submitters) select * from p where priority = (select min(priority) from p)", "submitters")
 def e5_submitter_ledger(submitters):
-    ledger = submitters.select("Name", "prio").dropDuplicates(["Name"])
-    joined = submitters.select("Name").join(ledger, "Name", "left").select("Name", F.coalesce("prio", F.lit(500.0)).alias("priority"))
+    ledger = submitters.filter("index % 3 <> 0").select("Name", F.col("prio").alias("priority"))
+    joined = matching.with_priority(submitters.select("Name"), ledger)
     least = joined.agg(F.min("priority").alias("least"))
     return joined.join(F.broadcast(least), F.col("priority") == F.col("least")).select("Name", "priority")
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import PRIVATE, PRIVATE_PREFIX
+from ..functions import names
+from ..functions.names import PRIVATE, ad_key
 
 LINE = r"^\s*([A-Za-z_]\w*)\s*=(?!=)\s*(.*?)\s*$"
 
@@ -34,8 +37,18 @@ def integer_in_text(text: Column, name: str) -> Column:
 
 
 def name_in_text(text: Column) -> Column:
-    """The first Name line's value, case counting; quotes trimmed."""
-    return F.regexp_replace(F.regexp_extract(text, r"(?m)^Name\s*=\s*(.*?)\s*$", 1), '^"|"$', "")
+    """The first Name line's value, case counting, blanks before it or not; quotes trimmed."""
+    return F.regexp_replace(F.regexp_extract(text, r"(?m)^[^\S\n]*Name[^\S\n]*=[^\S\n]*(.*?)\s*$", 1), '^"|"$', "")
+
+
+def key_in_text(text: Column, table: str) -> Column:
+    """The ad's key, from the few lines of its text that make it; the first of repeated ones counts."""
+
+    def get(name: str) -> Column:
+        raw = F.regexp_extract(text, rf"(?im)^[^\S\n]*{name}[^\S\n]*=[^\S\n]*(.*?)\s*$", 1)
+        return F.regexp_replace(raw, '^"(.*)"$', "$1")
+
+    return ad_key(table, get)
 
 
 def stamped(text: Column, now: int) -> Column:
@@ -52,8 +65,8 @@ def copied_lines(text: Column, *names: str) -> Column:
 
 def sanitized(text: Column, most: int = 8192) -> Column:
     """For logs: private values hidden, long text cut with a mark."""
-    names = "|".join([*PRIVATE, PRIVATE_PREFIX.removeprefix("(?i)^") + r"\w*"])
-    hidden = F.regexp_replace(text, rf"(?im)^(\s*(?:{names})\s*=).*$", '$1 "<redacted>"')
+    secret = "|".join([*PRIVATE, *([rf"{re.escape(names.PRIVATE_PREFIX)}\w*"] if names.PRIVATE_PREFIX else [])])
+    hidden = F.regexp_replace(text, rf"(?im)^(\s*(?:{secret})\s*=).*$", '$1 "<redacted>"')
     return F.when(F.length(hidden) > most, F.concat(F.substr(hidden, F.lit(1), F.lit(most)), F.lit("...(truncated)"))).otherwise(hidden)
 
 
@@ -74,10 +87,13 @@ def parsed_updates(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return ads.filter("name is not null"), ads.filter("name is null").select("text")
 
 
-def table_of(attrs: Column) -> Column:
-    """The table an ad belongs to, by its type."""
+def table_of(attrs: Column, private: bool = False) -> Column:
+    """The table an ad belongs to, by its type; null, so passed over, where the type is unknown. All ads of a
+    private source are machines' private ones."""
+    if private:
+        return F.lit("machine_private")
     tables = F.create_map(*(x for k, v in TABLES.items() for x in (F.lit(k.lower()), F.lit(v))))
-    return F.coalesce(F.try_element_at(tables, F.lower(text_value(attrs, "mytype"))), F.lit("generic"))
+    return F.try_element_at(tables, F.lower(text_value(attrs, "mytype")))
 
 
 #: Ad types and the tables they go to.

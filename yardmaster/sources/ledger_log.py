@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 LINE = "op string, tbl int, key string, attr string, kind string, i long, f double, s string, n long"
 
 
@@ -51,8 +53,8 @@ def import_journal(lines: DataFrame) -> DataFrame:
     """Changes (op, tbl, key, attr, s, n) of journal `lines` (n, line): up to the first bad line, without
     transactions that don't end.
 
-    The running counts that number transactions are windows over the journal's
-    control lines alone; other lines are placed between these by their number.
+    Lines are ranged by their number; the control lines next to a line are found
+    within its range, and across ranges in a table of one row a range.
     """
     op = F.regexp_extract("line", r"^(\d+)(?:\s|$)", 1).try_cast("int")
     parsed = lines.select("n", op.alias("o"), F.split("line", r"\s+", 4).alias("p"))
@@ -61,12 +63,20 @@ def import_journal(lines: DataFrame) -> DataFrame:
     cut = checked.agg(F.min(F.when(F.col("bad"), F.col("n"))).alias("cut")).first()[0]
     good = checked if cut is None else checked.filter(F.col("n") < cut)
     # a transaction is what lies between a begin and the next control line, if that is an end
-    control = good.filter(F.col("o").isin(BEGIN, END)).select("n", "o", F.lit(0).alias("part"))
-    order = Window.partitionBy("part").orderBy("n")
-    spans = control.select("n", "o", F.lead("o").over(order).alias("next_o"), F.lead("n").over(order).alias("next_n"))
-    open_ = spans.filter((F.col("o") == BEGIN) & ((F.col("next_o") != END) | F.col("next_o").isNull())).select(F.col("n").alias("a"), F.coalesce("next_n", F.lit(2**62)).alias("b"))
-    body = good.filter(~F.col("o").isin(BEGIN, END))
-    kept = body.join(open_, (body["n"] > open_["a"]) & (body["n"] < open_["b"]), "left_anti")
+    ranged = good.repartitionByRange("n").withColumn("part", F.spark_partition_id())
+    path = shared_folder(lines.sparkSession, "journal")
+    ranged.write.parquet(path)
+    ranged = lines.sparkSession.read.schema(ranged.schema).parquet(path)
+    control = F.when(F.col("o").isin(BEGIN, END), F.col("o"))
+    before, after = Window.partitionBy("part").orderBy("n"), Window.partitionBy("part").orderBy(F.desc("n"))
+    ends = ranged.filter(F.col("o").isin(BEGIN, END)).groupBy("part").agg(F.min_by("o", "n").alias("first"), F.max_by("o", "n").alias("last"))
+    # a row for each range that has control lines: what stands before and after it
+    across = Window.orderBy("part")
+    ranges = ranged.select("part").distinct().join(ends, "part", "left")
+    ranges = ranges.select("part", F.last("last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("behind"), F.first("first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("ahead"))
+    placed = ranged.withColumns({"behind_": F.last(control, ignorenulls=True).over(before), "ahead_": F.last(control, ignorenulls=True).over(after)}).join(F.broadcast(ranges), "part")
+    is_open = (F.coalesce("behind_", "behind") == BEGIN) & ~F.coalesce(F.coalesce("ahead_", "ahead") == END, F.lit(False))
+    kept = placed.filter(~F.col("o").isin(BEGIN, END) & ~F.coalesce(is_open, F.lit(False)))
     name = F.col("p")[1]
     table = F.when(name.startswith("Customer."), 1).when(name.startswith("Resource."), 2).otherwise(0)
     key = F.regexp_replace(name, r"^(Customer|Resource)\.", "")

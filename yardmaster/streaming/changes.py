@@ -18,13 +18,17 @@ UPSERT, DELETE, RESET, SYNCED, RESYNC = 0, 1, 2, 3, 4
 
 
 def changes(log: DataFrame, constraint: str = "", after: int | None = None) -> DataFrame:
-    """`log` as changes (kind added), those after the cursor `after` only."""
+    """`log` as changes (kind added), those after the cursor `after` only: of what lies before it, one
+    aggregated row a key is needed, and no sort."""
     by = Window.partitionBy("key").orderBy("seq")
     matched = log.withColumn("_match", Compiler(attributes(log)).predicate(constraint))
-    before = F.coalesce(F.lag("_match").over(by), F.lit(False))
+    was = F.lit(False)
+    if after is not None:
+        held = matched.filter(F.col("seq") <= after).groupBy("key").agg(F.max_by("_match", "seq").alias("_was")).filter("_was")
+        matched, was = matched.filter(F.col("seq") > after).join(held, "key", "left"), F.coalesce("_was", F.lit(False))
+    before = F.coalesce(F.lag("_match").over(by), was)
     kind = F.when(F.col("_match"), UPSERT).when(before, DELETE)
-    out = matched.withColumn("kind", kind).filter("kind is not null").drop("_match")
-    return out if after is None else out.filter(F.col("seq") > after)
+    return matched.withColumn("kind", kind).filter("kind is not null").drop("_match", "_was")
 
 
 def replay(log: DataFrame, constraint: str = "", cursor: int | None = None) -> DataFrame:
