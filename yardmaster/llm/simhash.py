@@ -166,9 +166,9 @@ def links(fps: DataFrame, radius: int = 3, max_shard: int = 1024, expected: int
     while n >> int(64 * (blocks - radius) / blocks) > expected and blocks < 3 * radius:
         blocks += 1
     level = [(0, m, free) for m, free in _choices([(0, 64)], blocks, blocks - radius)]
-    rows, ready = fps.select("fp", F.lit(0).alias("choice")), []
+    first = F.array(*(F.struct(F.lit(i).alias("choice"), F.lit(m - (1 << 64) if m >> 63 else m).cast("long").alias("mask")) for i, (_, m, _) in enumerate(level)))
+    cut, ready = fps.select("fp", F.explode(first).alias("m")).select("fp", "m.*"), []
     while True:
-        cut = rows.withColumnRenamed("choice", "parent").join(_masks(spark, [(p, m) for p, m, _ in level]), "parent")
         cut = cut.select("fp", "choice", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("shard"))
         cut = cut.dropDuplicates(["fp", "shard"]) if ready else cut
         sizes = stash(cut.groupBy("shard").agg(F.count("*").alias("n")).filter("n > 1"), "shards")
@@ -181,6 +181,7 @@ def links(fps: DataFrame, radius: int = 3, max_shard: int = 1024, expected: int
             break
         rows = stash(cut.join(large, "shard").select("fp", "choice"), "large-shards")
         level = [(i, m, free) for i, (_, fixed, open_) in enumerate(level) for m, free in _choices(open_, 2, radius, fixed)]
+        cut = rows.withColumnRenamed("choice", "parent").join(_masks(spark, [(p, m) for p, m, _ in level]), "parent")
     return _tree_links(reduce(DataFrame.unionByName, ready), radius)
 
 
