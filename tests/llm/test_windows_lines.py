@@ -118,7 +118,8 @@ def test_contamination_of_odd_and_empty_tables(spark):
 
 def test_line_runs_match_sql(spark):
     rng = random.Random(8)
-    docs = [(i, "\n".join(rng.choice("abcdefghij") for _ in range(rng.randrange(1, 14)))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n\n"), (53, "q")]
+    lines_ = [*"abcdefghij", "five words are in this", "but\x0bfour in\tthis ", "so\x0bis this with\tfive "]
+    docs = [(i, "\n".join(rng.choice(lines_) for _ in range(rng.randrange(1, 14)))) for i in range(40)] + [(50, None), (51, ""), (52, "\n\n\n"), (53, "q")]
     got = lines.line_report(frame(spark, [(i, t, "", 1, 1, "") for i, t in docs]))
     want = run_sql(lines.SQL, documents=("doc_id bigint, text varchar", docs))
     assert sorted((tuple(r) for r in got.select("doc_id", "n_lines", "n_removed", "kept_sha256").collect()), key=repr) == want
