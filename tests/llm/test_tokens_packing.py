@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -47,6 +48,20 @@ def test_token_counts_of_odd_tables(spark):
     assert tokens.token_counts(frame(spark, []), VOCABULARY).count() == 0
 
 
+def test_coded_words_equal_the_library():
+    """Plain words are split here, others and special tokens by the library; a memo of few units changes nothing."""
+    rng, real = random.Random(3), library()
+    parts = ["a", "B", "'", "s", "'S", "'re", "'LL", "1", "22", ".", "!?", "é", "É", "ß", "À", "×", "÷", "ª", "µ", "½", "İ", "ſ", "\u0301", " ", "\x85", "\x1c", "\x00", "  ", "\n", "\x0b", "<|endoftext|>", "<|", "|>", "<|EndOfText|>", "中", "Ж", "🙂", "\u180e", "Ω"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(4000)] + [None, ""]
+    texts += [f"a{c}B' {c}'s {c}" for c in map(chr, range(1, 0x600))]
+    coder = packing.WordIds(VOCABULARY, 500)
+    assert coder.known_kind
+    for i in range(0, len(texts), 500):
+        ids, means = coder.encode(pa.array(texts[i : i + 500], pa.string()))
+        assert [x.tolist() for x in ids] == [real.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 500]]
+        assert len(means) == len(ids)
+
+
 def test_packed_pieces_are_the_documents(spark):
     real = library()
     source = [r for r in frame(spark).collect() if r.doc_id is not None and r.doc_id not in (3, 7)]

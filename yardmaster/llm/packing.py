@@ -10,7 +10,9 @@ is left at its end is cut into sequences of powers of two, which need no padding
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -27,6 +29,12 @@ DIMENSIONS, BITS, BUCKETS = 4, 12, 4096
 SPREAD = 15
 #: Tokens a range is to hold, ranges at most, and tokens sampled a range.
 RANGE, RANGES, POINTS = 1 << 21, 100_000, 32
+#: The kind of vocabulary whose plain words are split here: NFC, lower case, pieces, byte level.
+_LOWER_CASE_PIECES = (("NFC", "Replace", "Lowercase"), ("Split", "ByteLevel"), (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",))
+#: Printable ASCII and the letters of Latin-1: their classes, cases and normal forms are the same in all versions of Unicode.
+_LETTERS = "À-ÖØ-öø-ÿ"
+_PLAIN = rf"^[!-~{_LETTERS}]+$"
+_PIECE = rf"('s|'t|'re|'ve|'m|'ll|'d|[a-z{_LETTERS}]+|[0-9]|[^a-z{_LETTERS}0-9]+)"
 
 
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
@@ -64,67 +72,123 @@ class WordIds:
 
     A batch is split and its words told apart in Arrow, so that each is looked up
     once. They are parted at ASCII white space only; other white space inside a
-    word is the library's to handle. Words new to a batch are coded in one call on their joined text and told apart
-    by the tokens' offsets. Beyond `memo` words a batch's new words are forgotten
-    after it.
+    word is the library's to handle. Plain words, of printable ASCII and Latin-1
+    letters, are put in lower case and split into pieces in Arrow, too, as the
+    library would; only the pieces' merges are left to it. Other words, those with a
+    special token, and all words of vocabularies of another kind go through it whole.
+    Units (pieces, other words) new to a batch are coded in one call on their joined
+    text and told apart by the tokens' words or offsets. Beyond `memo` units a batch's new
+    ones are forgotten after it.
     """
 
     def __init__(self, path: str, memo: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library, self.limit = Tokenizer.from_file(path), memo
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.merger = Tokenizer.from_file(path)
+        self.merger.normalizer = normalizers.Sequence([])
+        self.merger.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for library in (self.library, self.merger):
+            library.no_truncation()
+            library.no_padding()
+        self.special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.known_kind = _kind(path) == _LOWER_CASE_PIECES
         self.directions = np.random.default_rng(20).choice(np.array([-1, 1], np.float32), (BUCKETS, DIMENSIONS))
         new = self.new = []
 
         class Places(dict):
-            def __missing__(self, word):
-                self[word] = n = len(self)
-                new.append(word)
+            def __missing__(self, unit):
+                self[unit] = n = len(self)
+                new.append(unit)
                 return n
 
         self.at = Places()
-        self.ids, self.ends, self.vector = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
+        self.tables = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros((0, DIMENSIONS), np.float32)
 
-    def coded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Flat ids of the words, how many each has, and each one's summed direction."""
-        got = self.library.encode(" ".join(words), add_special_tokens=False)
+    def coded(self, units: list[str], library) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of the units, how many each has, and each one's summed direction."""
+        got = library.encode(" ".join(units), add_special_tokens=False)
         ids = np.array(got.ids, np.uint32)
-        starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
-        offsets = np.fromiter((o for o, _ in got.offsets), np.int64, len(ids))
-        counts = np.bincount(np.searchsorted(starts, offsets, "right") - 1, minlength=len(words))
+        if library is self.merger:  # its words are the units
+            counts = np.bincount(np.array(got.word_ids, np.int64), minlength=len(units))
+        else:
+            starts = np.cumsum([0, *(len(u) + 1 for u in units[:-1])])
+            offsets = np.fromiter((o for o, _ in got.offsets), np.int64, len(ids))
+            counts = np.bincount(np.searchsorted(starts, offsets, "right") - 1, minlength=len(units))
         hashed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(52)  # the top 12 bits: BUCKETS
         return ids, counts, _sums(self.directions[hashed], np.cumsum(counts))
 
+    def _placed(self, units: pa.Array, tables: tuple, library) -> tuple[np.ndarray, tuple]:
+        """Each unit's row in the tables, and these with the new units behind."""
+        told, known = units.dictionary_encode(), len(self.new)
+        keys = told.dictionary.to_numpy(zero_copy_only=False).tolist()
+        places = np.fromiter(map(self.at.__getitem__, keys), np.int64, len(keys))
+        if new := self.new[known:]:
+            ids, ends, vector = tables
+            ids_, counts, vector_ = self.coded(new, library)
+            tables = np.concatenate([ids, ids_]), np.concatenate([ends, len(ids) + np.cumsum(counts)]), np.concatenate([vector, vector_])
+        return places[told.indices.to_numpy()], tables
+
+    def _plain(self, words: pa.Array) -> pa.Array:
+        if not self.known_kind:
+            return pa.array(np.zeros(len(words), bool))
+        plain = pc.match_substring_regex(words, _PLAIN)
+        return pc.and_not(plain, pc.match_substring_regex(words, "|".join(self.special), ignore_case=True)) if self.special else plain
+
     def encode(self, batch: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
         """The ids of each text (null: empty), and the mean vector of each."""
-        words = pc.ascii_split_whitespace(pc.fill_null(batch.cast(pa.large_string()), ""))
-        told = words.flatten().dictionary_encode()
-        places = np.fromiter(map(self.at.__getitem__, told.dictionary.to_pylist()), np.int64, len(told.dictionary))
-        flat = places[told.indices.to_numpy()]
-        ids, ends, vector = self.ids, self.ends, self.vector
-        if self.new:
-            ids_, counts, vector_ = self.coded(self.new)
-            ids, ends = np.concatenate([ids, ids_]), np.concatenate([ends, len(ids) + np.cumsum(counts)])
-            vector = np.concatenate([vector, vector_])
-            if len(self.ends) < self.limit:
-                self.ids, self.ends, self.vector = ids, ends, vector
-            else:
-                for word in self.new:
-                    del self.at[word]
-            self.new.clear()
+        texts = pc.ascii_split_whitespace(pc.fill_null(batch.cast(pa.large_string()), ""))
+        told = texts.flatten().dictionary_encode()
+        words = told.dictionary
+        plain = self._plain(words)
+        split = pc.replace_substring_regex(pc.utf8_lower(words.filter(plain)), _PIECE, r"\1 ")
+        pieces = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(split))
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        at_plain, tables = self._placed(pieces.flatten(), self.tables, self.merger)
+        at_other, tables = self._placed(words.filter(pc.invert(plain)), tables, self.library)
+        if len(self.tables[1]) < self.limit:
+            self.tables = tables
+        else:
+            for unit in self.new:
+                del self.at[unit]
+        self.new.clear()
+        ids, ends, vector = tables
         begins = np.concatenate([[0], ends])
-        length = (begins[1:] - begins[:-1])[flat]
-        after = np.cumsum(length)
-        out = ids[np.repeat(begins[flat] - after + length, length) + np.arange(length.sum())]
-        cut = np.cumsum(pc.list_value_length(words).to_numpy())
-        tokens = np.concatenate([[0], after])[np.concatenate([[0], cut])]
-        means = _sums(vector[flat], cut) / np.maximum(np.diff(tokens), 1)[:, None]
+        size = np.diff(begins)
+        # units of each word, in the words' order
+        units = np.ones(len(words), np.int64)
+        units[is_plain] = pc.list_value_length(pieces).to_numpy()
+        unit = np.empty(units.sum(), np.int64)
+        of_plain = np.repeat(is_plain, units)
+        unit[of_plain], unit[~of_plain] = at_plain, at_other
+        word_ids = ids[_ranges(begins[unit], size[unit])]
+        upto = np.concatenate([[0], np.cumsum(size[unit])])[np.concatenate([[0], np.cumsum(units)])]
+        word_vector = _sums(vector[unit], np.cumsum(units))
+        # words of each text
+        flat = told.indices.to_numpy()
+        length = np.diff(upto)[flat]
+        out = word_ids[_ranges(upto[flat], length)]
+        cut = np.cumsum(pc.list_value_length(texts).to_numpy())
+        tokens = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], cut])]
+        means = _sums(word_vector[flat], cut) / np.maximum(np.diff(tokens), 1)[:, None]
         return [out[a:b] for a, b in zip(tokens, tokens[1:])], means
 
 
+def _ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, end to end."""
+    return np.repeat(begins - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
+def _kind(path: str) -> tuple:
+    """How a vocabulary's file has texts normalized and split."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = [(spec.get(x) or {}) for x in ("normalizer", "pre_tokenizer")]
+    first, second = steps[0].get("normalizers", []), steps[1].get("pretokenizers", [])
+    return tuple(x["type"] for x in first), tuple(x["type"] for x in second), tuple(x["pattern"].get("Regex") for x in second if "pattern" in x)
+
+
 def _sums(rows: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Sums of the consecutive runs of rows that stop before each end."""
     total = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)])
