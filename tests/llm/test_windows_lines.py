@@ -142,6 +142,24 @@ def test_line_runs_of_any_length(spark):
         assert {r.doc_id: r.text for r in got.collect()} == want
 
 
+def test_suffix_array_and_its_prefixes(spark):
+    """Order, common prefixes and maximal runs against sorted suffixes, each compared with all others."""
+    rng = random.Random(12)
+    body = [rng.choice("abcdefg") for _ in range(60)]
+    docs = {i: [rng.choice("aab") for _ in range(rng.randrange(1, 30))] for i in range(12)} | {20: body, 21: body, 22: ["z", *body[:41], "y"], 23: ["a"] * 40, 24: []}
+    units = spark.createDataFrame([(i, i, k, ord(c)) for i, d in docs.items() for k, c in enumerate(d) if c != "d"], "doc_id long, th long, at int, rank long")
+    rest = lambda i, k: "".join(docs[i][k:]).split("d")[0]  # noqa: E731  d is not there: it ends suffixes
+    want = sorted((rest(i, k), i, k) for i, d in docs.items() for k, c in enumerate(d) if c != "d")
+    same = lambda x, y: next((n for n, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+    got = sorted(lines.suffix_array(units).collect(), key=lambda r: (r.ranks[-1], r.doc_id, r.at))
+    assert [(r.doc_id, r.at, r.left) for r in got] == [(i, k, len(x)) for x, i, k in want]
+    assert [r.lcp for r in got] == [0] + [same(a[0], b[0]) for a, b in zip(want, want[1:])]
+    table = frame(spark, [(i, "\n".join(d), "", 1, 1, "") for i, d in docs.items()]).select("doc_id", F.lit(0).cast("long").alias("th"), "text")
+    longest = {(i, k): max(same(docs[i][k:], docs[j][m:]) for j in docs for m in range(len(docs[j])) if (i, k) != (j, m)) for i in docs for k in range(len(docs[i]))}
+    runs = {(i, k, n) for (i, k), n in longest.items() if n >= 2 and longest.get((i, k - 1)) != n + 1}
+    assert {(r.doc_id, r.at, r.n) for r in lines.maximal_runs(table).collect()} == runs
+
+
 def test_single_long_lines_go_alone(spark):
     rng = random.Random(10)
     long, short = [f"line {c} of five words" for c in "abcd"], ["x", "four words are short", "", " "]
